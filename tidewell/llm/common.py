@@ -7,6 +7,7 @@ row still gives one output row.  Null texts count as empty.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,3 +84,12 @@ def find_spans(text: Column, pattern: str) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the cluster's shared checkpoint folder, its lineage cut."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
+    return df.checkpoint(eager=True)
