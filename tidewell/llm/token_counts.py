@@ -40,7 +40,8 @@ from tidewell.llm.common import text_of
 LIMIT = 1024
 STRETCH = 12 << 20
 #: White space and the pre-token pattern of byte-level BPE: fixed values.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE_POINTS = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+WHITE = "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in WHITE_POINTS)
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 PACKED = "stretch string, bucket int, kind int, payload binary"
 
