@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontam, license_scan, pii, quality_rules, secret_scan, simhash, token_counts
+from tidewell.llm import decontam, license_scan, pii, quality_rules, repeats, secret_scan, simhash, token_counts
 from tidewell.llm.common import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_secrets, op4_licenses, op5_quality_rules, op7_token_counts, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_repeats, op2_pii, op3_secrets, op4_licenses, op5_quality_rules, op7_token_counts, op8_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
