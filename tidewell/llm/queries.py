@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontam, license_scan, pii, quality_rules, repeats, secret_scan, simhash, token_counts
+from tidewell.llm import decontam, license_scan, mixing, pii, quality_rank, quality_rules, repeats, secret_scan, simhash, token_counts
 from tidewell.llm.common import table
 
 
@@ -34,18 +34,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rank.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeats, op2_pii, op3_secrets, op4_licenses, op5_quality_rules, op7_token_counts, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_repeats, op2_pii, op3_secrets, op4_licenses, op5_quality_rules, op6_quality_rank, op7_token_counts, op8_decontamination, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
