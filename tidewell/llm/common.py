@@ -8,6 +8,7 @@ row still gives one output row.  Null texts count as empty.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,16 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def split_words(text: Column, lower: bool, ascii_only_separators: bool) -> Column:
+    """The words of a text, by one character translation and a split at single blanks.
+
+    ascii_only_separators: words are WORD after ASCII lower-casing; else they are NOT_SPACE.
+    """
+    breaks = "".join(chr(c) for c in ([c for c in range(128) if not chr(c).isalnum()] if ascii_only_separators else range(9, 14)) if c != 32)
+    plain = F.translate(text, (UPPER if lower else "") + breaks, (LOWER if lower else "") + " " * len(breaks))
+    return F.array_remove(F.split(plain, " ", -1), "")
+
+
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (never null), th and the columns named in more; other columns are left out, whatever their names."""
     return docs.select(F.col("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("th"), *(F.col(c) for c in more))
@@ -93,3 +104,12 @@ def cut(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the cluster's shared checkpoint folder, read again."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewell-checkpoint-")
+    path = f"{folder}/tidewell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

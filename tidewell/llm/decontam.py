@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD, ascii_lower, attach, indices, keyed, let, sha256, text_of, words
+from tidewell.llm.common import WORD, ascii_lower, attach, indices, keyed, let, sha256, split_words, text_of, words
 
 WINDOW, GRAM, MAX_BROADCAST = 8, 5, 500_000
 MIN_ITEMS = 2
@@ -34,21 +34,18 @@ def grams(w: Column, k: int) -> Column:
     return F.transform(indices(F.size(w), k - 1), lambda i: F.xxhash64(F.lit(k), *(w[i - (k - 1 - j)] for j in range(k))))
 
 
-def winnowed(h: Column, span: int) -> Column:
-    """(p, h) of the hashes that are the smallest of some span consecutive ones, ties included."""
-    least = F.transform(indices(F.size(h), span - 1), lambda i: F.least(*(h[i - j] for j in range(span))) if span > 1 else h[i])
-    of = lambda m: F.filter(
-        F.transform(h, lambda x, i: F.struct(i.alias("p"), x.alias("h"))),
-        lambda x: _any(x["h"] == F.get(m, x["p"] - j) for j in range(span)),
-    )
-    return let(least, of)
-
-
-def _any(tests) -> Column:
+def is_winnowed(h: Column, i: Column, span: int) -> Column:
+    """Whether h[i] is the smallest, ties included, of some span consecutive hashes of the array: at least span - 1 neighbours in a row are no smaller."""
+    x = F.get(h, i)
+    before = [F.get(h, i - j) >= x for j in range(1, span)]
+    after = [F.get(h, i + j) >= x for j in range(1, span)]
     out = F.lit(False)
-    for t in tests:
-        out = out | F.coalesce(t, F.lit(False))
-    return out
+    for left in range(span):
+        test = F.lit(True)
+        for part in (*before[:left], *after[: span - 1 - left]):
+            test = test & part
+        out = out | test
+    return F.coalesce(out, F.lit(False))
 
 
 def item_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
@@ -62,26 +59,52 @@ def item_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
     return wins.select(F.when(F.size("win") == window, full).otherwise(short).alias("f"), F.size("win").alias("m"), "win", "items").select("f.*", "m", "win", "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, th, spans: sorted distinct (s, m) of hit windows in words, items: sorted ids.  Only documents that are hit."""
+def _met(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, max_broadcast: int, every: bool) -> DataFrame:
+    """doc_id, th, n_words, span, items: a row for each window found at a kept fingerprint; every: and one with null span for each row of docs."""
     fp = item_windows(benchmark, window, gram)
     stat = fp.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("m") < window, F.col("m"))).alias("short")).first()
-    small = stat["n"] <= max_broadcast
-    w = F.col("w")
-    picks = lambda v: F.concat(winnowed(grams(v, gram), window - gram + 1), *(F.transform(grams(v, k), lambda x, i: F.struct(i.alias("p"), x.alias("h"))) for k in sorted(stat["short"])))
-    rows = keyed(docs).select("doc_id", "th", words(ascii_lower(F.col("text")), WORD).alias("w"))
-    rows = rows.select("doc_id", "th", "w", let(w, lambda v: let(grams(v, gram), lambda h: winnowed(h, window - gram + 1))).alias("k")) if not stat["short"] else rows.select("doc_id", "th", "w", let(w, picks).alias("k"))
-    each = rows.select("doc_id", "th", "w", F.explode("k").alias("x")).select("doc_id", "th", "w", F.col("x.p").alias("p"), F.col("x.h").alias("h"))
+    small, short, width = stat["n"] <= max_broadcast, sorted(stat["short"]), window - gram + 1
+    rows = keyed(docs).select("doc_id", "th", split_words(F.col("text"), True, True).alias("w"))
+    rows = rows.select("doc_id", "th", "w", F.size("w").alias("n_words"), grams(F.col("w"), gram).alias("g"), *(grams(F.col("w"), k).alias(f"g{k}") for k in short))
+    # Before each array of hashes stands the row's own entry, which no fingerprint equals.
+    own = F.array(F.lit(None).cast("bigint")) if every else F.array().cast("array<bigint>")
+    # One generator over all hashes, so that the arrays are never copied for each of them.
+    each = rows.select("doc_id", "th", "w", "n_words", "g", F.posexplode(F.concat(own, "g", *(f"g{k}" for k in short))).alias("q", "h"))
+    whole, at = F.lit(False), F.col("q") - int(every)
+    p = at
+    end = F.greatest(F.col("n_words") - (gram - 1), F.lit(0))
+    for k in short:
+        p, whole = F.when(at >= end, at - end).otherwise(p), whole | (at >= end)
+        end = end + F.greatest(F.col("n_words") - (k - 1), F.lit(0))
+    each = each.select("doc_id", "th", "w", "n_words", "g", "h", p.alias("p"), whole.alias("whole"))
+    kept = F.col("whole") | is_winnowed(F.col("g"), F.col("p"), width)
     start = F.col("p") - F.col("off")
     if small:
-        met = each.join(F.broadcast(fp), "h").where(start >= 0).where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("m")) == F.col("win"))
+        # The join with the broadcast comes first and the winnowing test of the document's side after it: the test is dearer.
+        met = each.join(F.broadcast(fp), "h", "left" if every else "inner")
+        hit = kept & (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("m")) == F.col("win"))
     else:
         room = window - 1
-        near = each.select("doc_id", "th", "p", "h", F.slice("w", F.greatest(F.col("p") - room, F.lit(0)) + 1, 2 * window).alias("near"))
+        near = each.where(F.col("h").isNull() | kept).select("doc_id", "th", "n_words", "p", "h", F.slice("w", F.greatest(F.col("p") - room, F.lit(0)) + 1, 2 * window).alias("near"))
+        met = near.join(fp, "h", "left" if every else "inner")
         at = F.least(F.col("p"), F.lit(room)) - F.col("off")
-        met = near.join(fp, "h").where(at >= 0).where(F.slice("near", F.greatest(at, F.lit(0)) + 1, F.col("m")) == F.col("win"))
-    met = met.select("doc_id", "th", F.struct(start.alias("s"), F.col("m").alias("m")).alias("span"), "items")
-    return met.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        hit = (at >= 0) & (F.slice("near", F.greatest(at, F.lit(0)) + 1, F.col("m")) == F.col("win"))
+    met = met.where(F.col("h").isNull() | hit)
+    return met.select("doc_id", "th", "n_words", F.when(F.col("m").isNotNull(), F.struct(start.alias("s"), F.col("m").alias("m"))).alias("span"), "items")
+
+
+def _gathered(met: DataFrame) -> DataFrame:
+    return met.groupBy("doc_id", "th").agg(
+        F.max("n_words").alias("n_words"),
+        F.sum(F.col("span").isNull().cast("int")).alias("copies"),
+        F.sort_array(F.collect_set("span")).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """doc_id, th, spans: sorted distinct (s, m) of hit windows in words, items: sorted ids.  Only documents that are hit."""
+    return _gathered(_met(docs, benchmark, window, gram, max_broadcast, False)).select("doc_id", "th", "spans", "items")
 
 
 def covered(spans: Column) -> Column:
@@ -95,11 +118,10 @@ def covered(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    rows = keyed(docs).select("doc_id", "th", F.size(words(ascii_lower(F.col("text")), WORD)).cast("long").alias("n_words"))
-    hit = hits(docs, benchmark, window, gram, max_broadcast)
-    both = attach(rows, hit).select("doc_id", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    found = _gathered(_met(docs, benchmark, window, gram, max_broadcast, True))
     n_items = F.size("items").cast("long")
-    return both.select("doc_id", "n_words", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"), n_items.alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), (n_items >= min_items).alias("contaminated"))
+    rows = found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered(F.col("spans")).cast("long").alias("n_hit"), n_items.alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), (n_items >= min_items).alias("contaminated"), "copies")
+    return rows.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
