@@ -66,9 +66,10 @@ def rules() -> list[tuple[str, list[tuple[str, int, str, float]]]]:
     for family, (gate, names, versions) in FAMILIES.items():
         own = []
         for notice, priority, confidence in NOTICES:
-            for name in names:
+            # The identifier form also takes the family's own short name.
+            for name in dict.fromkeys((*names, family) if priority == 1 else names):
                 for v in versions:
-                    body = name + (f"(?: version| v)? {v}" if v else "")
+                    body = name + (f"(?:(?: version| v)? | v){v}" if v else "")
                     label = "-".join([family, *(v.split() if family not in ("cc",) else [])]) if v else family
                     if family == "cc":
                         short = name.replace("creative commons attribution", "cc by").replace("noncommercial", "nc").replace("sharealike", "sa")
