@@ -202,7 +202,7 @@ def test_detection():
 
 
 def test_keystream():
-    # Published zero-key stream of eight rounds: the first and the second block.
+    # The zero-key stream of eight rounds begins so; further blocks must differ.
     stream = quantize.keystream(bytes(32), 128)
     assert stream[:16].hex() == "3e00ef2f895f40d67f5bb8e81f09a5a1"
     assert len(set(stream[64:])) > 30 and stream[:64] != stream[64:]
