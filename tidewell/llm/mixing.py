@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,17 +45,24 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 class _Cells(dict):
-    """word: its cell and that of its ending, remembered up to a fixed number of words."""
+    """word: its cell and that of its ending, in one number, remembered up to a fixed number of words."""
 
     def __init__(self, cells: int):
         super().__init__()
         self.cells = cells
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 1 << 19:
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 17:
             self.clear()
-        self[word] = found = tuple(zlib.crc32(x.encode()) % self.cells for x in (word, f"~{word[-2:]}"))
-        return found
+        a, b = (zlib.crc32(x.encode()) % self.cells for x in (word, f"~{word[-2:]}"))
+        self[word] = both = a * self.cells + b
+        return both
+
+    def of_text(self, text: str) -> tuple[np.ndarray, int]:
+        """The different cells of a text's words, and how many words it has."""
+        w = text.lower().split()
+        both = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+        return np.unique(np.concatenate([both // self.cells, both % self.cells])), len(w)
 
 
 def _count_map(cells: int, domains: int):
@@ -65,7 +71,7 @@ def _count_map(cells: int, domains: int):
         for b in batches:
             for text, d in zip(b.column("text"), b.column("d"), strict=True):
                 # Each cell of a text counts once: a few telling words are enough.
-                total[list({c for w in text.as_py().lower().split() for c in of[w]}), d.as_py()] += 1
+                total[of.of_text(text.as_py())[0], d.as_py()] += 1
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k]) for k in range(domains))], ["cell", *(f"n{k}" for k in range(domains))])
 
@@ -100,10 +106,9 @@ def _posterior_map(prior: np.ndarray, table: np.ndarray, grid: int, temperature:
         for b in batches:
             sizes, logs = [], np.zeros((b.num_rows, len(prior)))
             for i, text in enumerate(b.column("text")):
-                w = text.as_py().lower().split()
-                sizes.append(len(w))
-                if w:
-                    logs[i] = ratio[np.unique(np.fromiter(chain.from_iterable(map(of.__getitem__, w)), np.int64, 2 * len(w)))].sum(axis=0, dtype=np.float64)
+                found, n = of.of_text(text.as_py())
+                sizes.append(n)
+                logs[i] = ratio[found].sum(axis=0, dtype=np.float64)
             p = prior + logs / temperature
             p = np.exp(p - p.max(axis=1, keepdims=True))
             p = np.rint(grid * p / p.sum(axis=1, keepdims=True)).astype(np.int16)
