@@ -268,3 +268,16 @@ def test_pipeline(spark, sf):
             if not hit[i][1]:
                 assert out[i]["text"] == rows[i]["text"]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secrets", "mixing"]
+
+
+def test_decontamination_sql(spark, sf):
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import oracle
+
+    from tidewell.llm import queries
+
+    name = "op8_decontamination"
+    assert oracle.rows_of_spark(queries.queries()[name](spark, sf)) == oracle.rows_of_sql(queries.oracle_sql()[name], sf)

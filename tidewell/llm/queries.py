@@ -56,5 +56,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_repeats, op2_pii, op3_secrets, op4_licenses, op5_quality_rules, op6_quality_rank, op7_token_counts, op8_decontamination, op9_mixing, op10_simhash)}
 
 
+#: Words, windows and joins need no hash, so this one has an SQL form.  The others' hashes, patterns with look-behind, tokenizer or fits don't; their tests compare with brute force.
+OP8_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+    SELECT DISTINCT item_id, least(len(w), 8) AS m, array_to_string(w[i + 1:i + least(len(w), 8)], ' ') AS s
+    FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 7, 1))) AS i FROM b WHERE len(w) > 0)
+), lens AS (SELECT DISTINCT m FROM win), place AS (
+    SELECT doc_id, i, m, array_to_string(w[i + 1:i + m], ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d), lens WHERE i + m <= len(w)
+), hit AS (SELECT doc_id, i, m, item_id FROM place JOIN win USING (m, s)), pos AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id
+), item AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": OP8_SQL}
