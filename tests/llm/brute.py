@@ -132,3 +132,21 @@ def repeats(rows, least=200):
         runs = sum(gone[i] and (i == 0 or not gone[i - 1]) for i in range(len(b)))
         out[(d, len(b), sum(gone), runs, sha(bytes(x for x, y in zip(b, gone, strict=True) if not y)))] += 1
     return out
+
+
+def shingles(t, k=5):
+    w = SPACE_WORD.findall(low(t or ""))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def similar(rows, least=0.8):
+    """rows: (doc_id, text); {(i, j): similarity} of all pairs of places with at least that Jaccard similarity."""
+    sets, out = [shingles(t) for _, t in rows], {}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= least * max(len(a), len(b)):
+                s = len(a & b) / len(a | b) if a or b else 1.0
+                if s >= least:
+                    out[j, i] = s
+    return out

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import decontam, license_scan, mixing, pii, quality_rank, quality_rules, repeats, secret_scan, simhash, token_counts
+from tidewell.llm import decontam, license_scan, mixing, pii, quality_rank, quality_rules, repeats, secret_scan, simhash, simhash_similar, token_counts
 from tidewell.llm.components import connect
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, h string, score double, kind string, spans string, w string, items string, th string, live string"
@@ -162,6 +162,27 @@ def test_links_of_crowded_fingerprints(spark, radius):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_similar_copies(spark, docs):
+    assert simhash_similar.dedup(docs).columns == docs.columns
+    found = collections.Counter((r["doc_id"], r["th"], r["component_id"]) for r in simhash_similar.assign(docs).collect())
+    assert sum(found.values()) == len(ROWS)
+    r = random.Random(11)
+    rows = []
+    for g in range(12):
+        words = [f"w{r.randrange(5000)}" for _ in range(300)]
+        for c in range(6):
+            own = list(words)
+            for _ in range(c):
+                own[r.randrange(300)] = f"v{r.randrange(5000)}"
+            rows.append((10 * g + c, " ".join(own)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near = brute.similar(rows)
+    got = {x["doc_id"]: x["component_id"] for x in simhash_similar.assign(d).collect()}
+    assert all(got[rows[i][0]] == got[rows[j][0]] for (i, j), x in near.items() if x >= 0.9)
+    assert all(i // 10 == c // 10 for i, c in got.items())
+    assert simhash_similar.dedup(d.limit(0)).count() == 0
+
+
 def test_thresholds_are_allocated_by_cost():
     assert simhash.allocate([{-1: 0, 0: 5, 1: 9}, {-1: 0, 0: 1, 1: 2}, {-1: 0, 0: 7, 1: 50}], 0) == (7.0, [0, 1, -1])
     groups = simhash.bit_groups(np.eye(64) * 5, 10, 3)
@@ -254,14 +275,15 @@ def test_pipeline(spark, sf):
     kept = {r["doc_id"] for r in quality_rules.score(docs, labels).where("kept").collect()}
     assert all(not brute.rules(rows[i]["text"])[-1] for i in kept)
     ids = sorted(kept)
-    prints = [(i, brute.fingerprint(rows[i]["text"])) for i in ids]
-    ids = sorted(set(brute.components(prints)))
+    near = {(ids[i], ids[j]): x for (i, j), x in brute.similar([(i, rows[i]["text"]) for i in ids]).items()}
     wins = brute.windows([(r["item_id"], r["text"]) for r in bench.collect()])
     hit = {i: brute.leaks(rows[i]["text"], wins) for i in ids}
-    ids = [i for i in ids if not hit[i][-1]]
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
-    assert sorted(out) == ids
-    for i in ids:
+    left = {i for i in ids if not hit[i][-1]}
+    linked = {i for pair in near for i in pair}
+    assert set(out) <= left and left - linked <= set(out)
+    assert not [p for p, x in near.items() if x >= 0.9 and set(p) <= set(out)]
+    for i in sorted(out):
         words = len(brute.PLAIN_WORD.findall(brute.low(rows[i]["text"])))
         if brute.secrets(rows[i]["text"])[:3] == (0, 0, 0) and "PRIVATE KEY" not in rows[i]["text"]:
             assert len(brute.PLAIN_WORD.findall(brute.low(out[i]["text"]))) == words - hit[i][1]

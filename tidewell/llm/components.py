@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut
+from tidewell.llm.common import attach, cut, text_of
 
 MAX_ROUNDS = 100
 
@@ -41,3 +41,14 @@ def connect(edges: DataFrame) -> DataFrame:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = edges.groupBy("a").agg(F.min("b").alias("b"))
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their components; found: doc_id, th, component_id."""
+    cols = docs.columns
+    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
+    stay = attach(least, found.groupBy("doc_id", "th").agg(F.count("*").alias("n")))
+    row = docs.select(F.struct(*(docs[c] for c in cols)).alias("_row"), docs["doc_id"].alias("doc_id"), F.xxhash64(text_of(docs["text"])).alias("th"))
+    kept = attach(row, stay).where(F.col("n").isNotNull())
+    repeated = kept.where("n > 1").groupBy("doc_id", "th").agg(F.min("_row").alias("_row")).select("_row")
+    return kept.where("n = 1").select("_row").unionByName(repeated).select("_row.*")

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import NOT_SPACE, ascii_lower, attach, cut, indices, keyed, let, text_of, words
-from tidewell.llm.components import connect
+from tidewell.llm.common import NOT_SPACE, ascii_lower, cut, indices, keyed, let, words
+from tidewell.llm.components import connect, keep_one
 
 SHINGLE, RADIUS, BUCKET, PARTS = 3, 2, 8, (2, 3, 4)
 #: Hashes whose bits are counted at a time.
@@ -162,7 +162,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, parts
     chosen = plan(distinct, radius, parts)
     probes = F.concat(*(F.transform(flips(part_key(fp, bits), bits) if t else F.array(part_key(fp, bits)), _tagged(k)) for k, (bits, t) in enumerate(chosen)))
     met = distinct.select("fp", F.explode(probes).alias("x")).select("fp", "x.k", "x.key")
-    size = met.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1")
+    # Cut, so that the join's two sides are plain exchanges and a part that very many fingerprints share is split among tasks.
+    size = cut(met.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1"))
     met = cut(met.join(size, ["k", "key"]))
     few = met.where(F.col("size") <= bucket).select("k", "key", F.col("fp").alias("a"))
     near = few.join(few.withColumnRenamed("a", "b"), ["k", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
@@ -197,13 +198,4 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, parts: tuple[int, ...] = PARTS) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id, then of the smallest text hash."""
-    cols = docs.columns
-    found = cut(assign(docs, shingle, radius, bucket, parts))
-    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
-    copies = found.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
-    stay = attach(least, copies)
-    row = docs.select(F.struct(*(docs[c] for c in cols)).alias("_row"), docs["doc_id"].alias("doc_id"), F.xxhash64(text_of(docs["text"])).alias("th"))
-    kept = attach(row, stay).where(F.col("n").isNotNull())
-    once = kept.where("n = 1").select("_row")
-    repeated = kept.where("n > 1").groupBy("doc_id", "th").agg(F.min("_row").alias("_row")).select("_row")
-    return once.unionByName(repeated).select("_row.*")
+    return keep_one(docs, cut(assign(docs, shingle, radius, bucket, parts)))
