@@ -13,8 +13,10 @@ from tidewell.codec.frame import CodecConfig
 from tidewell.codec.quantize import Lossy
 from tidewell.codec.schema import RecordSchema
 from tidewell.functions.exprs import fixed_point, length_code, offset_code, unix_micros, unzigzag, varint_size, zigzag
-from tidewell.operators import compress, detect, entropy, floats, integer, ordering, quantize, tokens
+from tidewell.operators import compress, detect, entropy, floats, integer, ordering, quantize, tokens, transform
+from tidewell.plans import report
 from tidewell.sources.block_table import block_index
+from tidewell.sources.frames import frame_info
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -325,3 +327,62 @@ def generated_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def generated_vibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.vibration(spark, 5000)
+
+
+@query()
+def transform_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's event times and values through the transform of every lossless type, and back."""
+    out = None
+    for value, names in (("us", ("raw", "i64", "u64")), ("value", ("f64", "f64s", "f64sd"))):
+        packed = transform.pack_series(events(spark, sf_dir), SERIES, ORDER, value, "i64" if value == "us" else "f64", 1024).withColumn("size", F.octet_length("data"))
+        for name in names:
+            own = transform.restored(transform.transformed(packed, "data", name), "transformed", "size", name)
+            rows = own.select("user_id", "block_id", F.lit(value).alias("series"), F.lit(name).alias("kind"), "size", F.octet_length("transformed").alias("transformed_bytes"), (F.col("data") == F.col("restored")).alias("same"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 1024 AS block_id, epoch_us(ts) AS us FROM events")
+def packed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times packed to bytes and unpacked to typed values."""
+    packed = transform.pack_series(events(spark, sf_dir), SERIES, ORDER, "us", "i64", 1024)
+    return transform.unpack_values(packed.where(transform.aligned("data", "i64")), "data", "i64").select("user_id", "block_id", F.explode("values").alias("us"))
+
+
+@query()
+def detected_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detected type of each user's packed times and values."""
+    out = [detect.detect_bytes(transform.pack_series(events(spark, sf_dir), SERIES, ORDER, v, k, 1024), "data").select("user_id", "block_id", F.lit(v).alias("series"), "kind") for v, k in (("us", "i64"), ("value", "f64"))]
+    return out[0].unionByName(out[1])
+
+
+@query()
+def frame_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers say of each page's frame."""
+    framed = compress.compress_column(table(spark, sf_dir, "pages").select("page_id", "html"), "html", CodecConfig(kind="raw", parser="greedy", block_size=1024))
+    return frame_info(framed, keys=("page_id",)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query()
+def parser_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded bytes of each benchmark text by the three parsers."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text").where(F.length("text") > 0)
+    for parser in ("greedy", "lazy", "optimal"):
+        rows = tokens.packed_size(tokens.parsed(rows, "text", parser, name=f"{parser}_tokens"), f"{parser}_tokens", f"{parser}_bytes").drop(f"{parser}_tokens")
+    return rows.select("item_id", F.octet_length("text").alias("n_bytes"), "greedy_bytes", "lazy_bytes", "optimal_bytes")
+
+
+@query()
+def lossy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of 16 successive values of each user through the lossy codec, with their errors."""
+    conf = Lossy(16, 8)
+    rows = ordering.number(events(spark, sf_dir).where("value is not null"), SERIES, ORDER)
+    vectors = quantize.series_vectors(rows, SERIES, "row_index", "value", 16).where(F.size("vector") == 16)
+    out = quantize.vector_errors(quantize.decode_vectors(quantize.encode_vectors(vectors, "vector", conf), "packed", conf, "decoded"), "vector", "decoded")
+    return out.select("user_id", "vector_id", F.round("rmse", 6).alias("rmse"), F.round("max_abs_error", 6).alias("max_abs_error"))
+
+
+@query()
+def dataset_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw against encoded bytes of the standard generated series."""
+    return report.ratios(spark)
