@@ -19,7 +19,9 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: Letters and digits of ASCII after lower-casing, and all other code points.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPANS = "array<struct<s:int,e:int,v:string>>"
+SPANS = "array<struct<s:int,e:int,v:string,l:string,r:string>>"
+#: Code points kept from the sides of a match; elements that are appended to at a time.
+NEAR, PIECE = 40, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,28 +71,49 @@ def indices(count: Column, start: int = 0) -> Column:
     return F.when(count > start, F.sequence(F.lit(start), count - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches of a pattern that never matches nothing, as code point spans with their strings.
+def running(parts: Column, item: Callable[[Column, Column], Column], kind: str) -> Column:
+    """item(start, part) for each part of an array of structs with a (gap) and b (length), start being the sum of all before plus a.
 
-    The pieces between matches give the places, so one pass of the regular
-    expression engine for each of the two arrays is all that is needed.
+    Appending to an array copies it, so the parts are taken in pieces of PIECE,
+    and the pieces' own starts first: the work stays linear for long arrays.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def of(v: Column) -> Column:
+        pieces = F.transform(indices(F.ceil(F.size(v) / PIECE).cast("int")), lambda c: F.slice(v, c * PIECE + 1, F.lit(PIECE)))
+
+        def placed(chunks: Column) -> Column:
+            sums = F.transform(chunks, lambda ch: F.aggregate(ch, F.lit(0), lambda t, x: t + x["a"] + x["b"]))
+            starts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+            def one(ch: Column, o: Column) -> Column:
+                zero = F.struct(o.alias("at"), F.array().cast(kind).alias("out"))
+                step = lambda acc, x: F.struct((acc["at"] + x["a"] + x["b"]).alias("at"), F.concat(acc["out"], F.array(item(acc["at"] + x["a"], x))).alias("out"))
+                return F.aggregate(ch, zero, step, lambda acc: acc["out"])
+
+            return F.flatten(F.zip_with(chunks, starts, one))
+
+        return let(pieces, placed)
+
+    return let(parts, of)
+
+
+def find_spans(text: Column, pattern: str | Column) -> Column:
+    """Leftmost non-overlapping matches of a pattern that never matches nothing, as code point spans.
+
+    v is the match, l and r are up to NEAR code points of the text between it
+    and the neighbouring matches.  The pieces between matches give the places,
+    so one pass of the regular expression engine for each of the two arrays is
+    all that is needed.
+    """
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def placed(m: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        parts = F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda v, g: F.struct(F.length(g).alias("a"), F.length(v).alias("b"), v.alias("v")))
-        return F.aggregate(
-            parts,
-            F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["a"] + x["b"]).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["a"]).alias("s"), (acc["at"] + x["a"] + x["b"]).alias("e"), x["v"].alias("v")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-
-    return let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast(SPANS)))
+        gaps = F.split(text, regex, -1)
+        near = let(gaps, lambda g: F.zip_with(F.slice(g, 1, F.size(m)), F.slice(g, 2, F.size(m)), lambda x, y: F.struct(F.length(x).alias("a"), F.right(x, F.lit(NEAR)).alias("l"), F.left(y, F.lit(NEAR)).alias("r"))))
+        parts = F.zip_with(m, near, lambda v, n: F.struct(n["a"].alias("a"), F.length(v).alias("b"), v.alias("v"), n["l"].alias("l"), n["r"].alias("r")))
+        return running(parts, lambda s, x: F.struct(s.alias("s"), (s + x["b"]).alias("e"), x["v"].alias("v"), x["l"].alias("l"), x["r"].alias("r")), SPANS)
+
+    return let(F.regexp_extract_all(text, regex, F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast(SPANS)))
 
 
 def sha256(text: Column) -> Column:

@@ -138,16 +138,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, win
     any_case = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
     def kept(spans: Column) -> Column:
-        gaps = F.split(text, any_case, -1)
-        parts = let(words(text, any_case), lambda v: F.zip_with(v, F.slice(gaps, 2, F.size(v)), lambda a, b: F.concat(a, b)))
-        left = F.filter(parts, lambda x, i: ~F.exists(spans, lambda s: (i >= s["s"]) & (i < s["s"] + s["m"])))
-        return F.concat(F.element_at(gaps, 1), F.array_join(left, ""))
-
-    merged = F.aggregate(
-        F.col("spans"),
-        F.array().cast("array<struct<s:int,m:int>>"),
-        lambda a, x: F.when((F.size(a) > 0) & (x["s"] <= F.element_at(a, -1)["s"] + F.element_at(a, -1)["m"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), (F.greatest(F.element_at(a, -1)["s"] + F.element_at(a, -1)["m"], x["s"] + x["m"]) - F.element_at(a, -1)["s"]).alias("m"))))).otherwise(F.concat(a, F.array(x))),
-    )
-    new = both.select("_row", F.col("spans").isNotNull().alias("_hit"), F.when(F.col("spans").isNotNull(), let(merged, kept)).otherwise(F.col("_row.text")).alias("_text"))
+        gone = F.flatten(F.transform(spans, lambda x: F.sequence(x["s"], x["s"] + x["m"] - 1)))
+
+        def rest(gaps: Column) -> Column:
+            parts = let(words(text, any_case), lambda v: F.zip_with(v, F.slice(gaps, 2, F.size(v)), lambda a, b: F.concat(a, b)))
+            left = let(parts, lambda p: F.transform(F.array_except(indices(F.size(p)), gone), lambda i: F.get(p, i)))
+            return F.concat(F.element_at(gaps, 1), F.array_join(left, ""))
+
+        return let(F.split(text, any_case, -1), rest)
+
+    new = both.select("_row", F.col("spans").isNotNull().alias("_hit"), F.when(F.col("spans").isNotNull(), kept(F.col("spans"))).otherwise(F.col("_row.text")).alias("_text"))
     fields = {"text": F.col("_text"), "n_chars": F.when(F.col("_hit"), F.length("_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))).otherwise(F.col("_row.n_chars")) if "n_chars" in cols else None}
     return new.select(*(fields.get(c, F.col("_row").getField(c)).alias(c) for c in cols))

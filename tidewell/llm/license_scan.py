@@ -19,7 +19,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPANS, WORD, ascii_lower, find_spans, indices, let, text_of, words
+from tidewell.llm.common import PIECE, WORD, ascii_lower, find_spans, indices, let, text_of, words
 
 #: Fixed values of the base rules.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -57,7 +57,8 @@ NOTICES = (
     (r"(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the |an? )?{}", 2, 0.95),
     (r"{}", 3, 0.7),
 )
-BLANK_SPAN = "array<struct<s:int,e:int,priority:int,label:string,confidence:double>>"
+ONE = "struct<s:int,e:int,priority:int,label:string,confidence:double>"
+BLANK_SPAN = f"array<{ONE}>"
 
 
 def rules() -> list[tuple[str, list[tuple[str, int, str, float]]]]:
@@ -91,24 +92,12 @@ def detections(blanked: Column) -> Column:
     """All matches of all rules whose gate opens: (s, e, priority, label, confidence) in code points of the blanked text."""
 
     def run(rule: Column) -> Column:
-        return F.transform(find_spans_by(blanked, rule["p"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+        return F.transform(find_spans(blanked, rule["p"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 
     opened = F.filter(ruleset(), lambda f: F.rlike(blanked, f["gate"]))
     return F.flatten(F.transform(opened, lambda f: F.flatten(F.transform(F.filter(f["rules"], lambda r: F.rlike(blanked, r["p"])), run))))
 
 
-def find_spans_by(text: Column, pattern: Column) -> Column:
-    """find_spans for a pattern that is itself a value."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    parts = let(found, lambda m: F.zip_with(m, F.slice(F.split(text, pattern, -1), 1, F.size(m)), lambda v, g: F.struct(F.length(g).alias("a"), F.length(v).alias("b"))))
-    return F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["a"] + x["b"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["a"]).alias("s"), (acc["at"] + x["a"] + x["b"]).alias("e"), F.lit("").alias("v")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-
-
 def resolved(found: Column) -> Column:
     """The sweep: contained detections go, of partial overlaps the better priority stays."""
     ordered = F.array_sort(
@@ -116,16 +105,26 @@ def resolved(found: Column) -> Column:
         lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).when(a["e"] != b["e"], b["e"] - a["e"]).when(a["priority"] != b["priority"], a["priority"] - b["priority"]).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0),
     )
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (
-            F.when(F.size(kept) == 0, F.array(x))
-            .when(x["s"] >= last["e"], F.concat(kept, F.array(x)))
-            .when((x["e"] <= last["e"]) | (x["priority"] >= last["priority"]), kept)
-            .otherwise(F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x)))
-        )
+    def step(acc: Column, x: Column) -> Column:
+        last = acc["last"]
+        free = last.isNull() | (x["s"] >= last["e"])
+        now = F.when(free, x).when((x["e"] <= last["e"]) | (x["priority"] >= last["priority"]), last).otherwise(x)
+        return F.struct(now.alias("last"), F.when(free & last.isNotNull(), F.concat(acc["out"], F.array(last))).otherwise(acc["out"]).alias("out"))
+
+    none, empty = F.lit(None).cast(ONE), F.array().cast(f"array<{ONE}>")
+
+    def swept(v: Column) -> Column:
+        # In pieces, as appending copies: the work stays linear.
+        pieces = F.transform(indices(F.ceil(F.size(v) / PIECE).cast("int")), lambda c: F.slice(v, c * PIECE + 1, F.lit(PIECE)))
+
+        def whole(acc: Column, piece: Column) -> Column:
+            part = F.aggregate(piece, F.struct(acc["last"].alias("last"), empty.alias("out")), step)
+            return let(part, lambda r: F.struct(r["last"].alias("last"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+        zero = F.struct(none.alias("last"), F.array().cast(f"array<array<{ONE}>>").alias("outs"))
+        return F.aggregate(pieces, zero, whole, lambda acc: F.concat(F.flatten(acc["outs"]), F.when(acc["last"].isNotNull(), F.array(acc["last"])).otherwise(empty)))
 
-    return F.aggregate(ordered, F.array().cast(BLANK_SPAN), step)
+    return let(ordered, swept)
 
 
 def base_places(w: Column) -> Column:

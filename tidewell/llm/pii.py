@@ -45,7 +45,7 @@ LOWER_BY = {
     "iban": r"\b(sample|example|test)\b",
     "national": r"\b(order|serial|isbn|version)\b",
 }
-NEAR, STEP, ACCEPT = 40, 0.2, 0.5
+STEP, ACCEPT = 0.2, 0.5
 
 
 def digits(v: Column) -> Column:
@@ -97,7 +97,7 @@ def scored(kind: str, text: Column) -> Column:
     pattern, gate = GATE[kind]
 
     def weighed(x: Column) -> Column:
-        near = F.lower(F.concat(F.substring(text, F.greatest(x["s"] - NEAR, F.lit(0)) + 1, F.least(x["s"], F.lit(NEAR))), F.lit(" \u0000 "), F.substring(text, x["e"] + 1, NEAR)))
+        near = F.lower(F.concat_ws(" | ", x["l"], x["r"]))
         s = let(near, lambda n: F.lit(START[kind]) + F.when(n.rlike(RAISE[kind]), STEP).otherwise(0.0) - F.when(n.rlike(LOWER_BY[kind]), STEP).otherwise(0.0))
         return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.round(s, 2).alias("score"))
 

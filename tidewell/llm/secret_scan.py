@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPANS, attach, find_spans, keyed, let, sha256, text_of
+from tidewell.llm.common import SPANS, attach, cut, find_spans, keyed, let, sha256, text_of
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -74,7 +74,8 @@ def verdicts(docs: DataFrame, owner: str = "source", example_owners: int = EXAMP
     """(rows with their candidates, live hashes of each row that has any).  Both hold doc_id and th."""
     rows = keyed(docs).select("doc_id", "th", candidates(F.col("text")).alias("found"))
     held = rows.where(F.size("found") > 0).select("doc_id", "th", F.explode(F.array_distinct(F.transform("found", lambda x: x["h"]))).alias("h"))
-    live = ownership(docs, owner).where((F.col("owners") < example_owners) & (F.col("repos") < example_repos)).select("h")
+    # Cut, so that the join's two sides are plain exchanges and a value that very many documents hold is split among tasks.
+    live = cut(ownership(docs, owner).where((F.col("owners") < example_owners) & (F.col("repos") < example_repos)).select("h"))
     marked = held.join(live, "h", "left_semi").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("h")).alias("live"))
     return rows, marked
 
@@ -90,17 +91,17 @@ def of_kind(found: Column, kind: str) -> Column:
     return F.filter(found, lambda x: x["kind"] == kind)
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with every span (s, e), sorted by s, replaced; overlapping spans give one mask."""
-    end = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(MASK))).otherwise(a["out"]).alias("out"),
-        ),
-    )
-    return let(end, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+def masked(text: Column, kind: str, live: Column) -> Column:
+    """The text with every match of a kind whose secret part is live replaced."""
+    pattern, gate, least = KINDS[kind]
+
+    def of(t: Column) -> Column:
+        gaps = F.split(t, pattern, -1)
+        hit = lambda v: (F.length(value(kind, v)) >= least) & F.array_contains(live, F.xxhash64(value(kind, v), F.lit(kind)))
+        made = lambda m: let(gaps, lambda g: F.concat(F.element_at(g, 1), F.array_join(F.zip_with(m, F.slice(g, 2, F.size(m)), lambda v, x: F.concat(F.when(hit(v), MASK).otherwise(v), x)), "")))
+        return F.when(gate(t), let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), made)).otherwise(t)
+
+    return let(text, of)
 
 
 def redact(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
@@ -109,8 +110,9 @@ def redact(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE
     row = docs.select(F.struct(*(docs[c] for c in cols)).alias("_row"), docs["doc_id"].alias("doc_id"), F.xxhash64(text_of(docs["text"])).alias("th"))
     _, marked = verdicts(docs, owner, example_owners, example_repos)
     both = attach(row, marked).select("_row", F.col("live").alias("_live"))
-    text = text_of(F.col("_row.text"))
-    clean = let(F.filter(candidates(text), lambda x: F.array_contains(F.col("_live"), x["h"])), lambda s: masked(text, s))
+    clean = text_of(F.col("_row.text"))
+    for kind in KINDS:
+        clean = masked(clean, kind, F.col("_live"))
     new = both.select("_row", F.when(F.col("_live").isNotNull(), clean).otherwise(F.col("_row.text")).alias("_text"), F.col("_live").isNotNull().alias("_hit"))
     fields = {"text": F.col("_text"), "n_chars": F.when(F.col("_hit"), F.length("_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))).otherwise(F.col("_row.n_chars")) if "n_chars" in cols else None}
     return new.select(*(fields.get(c, F.col("_row").getField(c)).alias(c) for c in cols))
