@@ -41,9 +41,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm.common import attach, cut, keyed
+from tidewell.llm.common import attach, keyed, written
 
-LEAST, GRAM, MAX_GROUP, STRETCH = 200, 32, 100_000, 8 << 20
+LEAST, GRAM, MAX_GROUP, STRETCH = 200, 32, 100_000, 2 << 20
 #: Odd multipliers of the rolling hash.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -290,7 +290,7 @@ def _sorted(read: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame, least: int = LEAST, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
     """h, c, fr, til: for each context that repeats, the repeated bytes around its anchor (fr <= 0, til exclusive)."""
-    found = cut(contexts(docs, least, gram))
+    found = written(contexts(docs, least, gram))
     whole = found.where((F.col("n") > 1) & (F.col("lft") + F.col("rgt") >= least)).select("h", "c", (-F.col("lft")).cast("int").alias("fr"), F.col("rgt").cast("int").alias("til"))
     scanned = _sorted(_read(docs, found.where(F.col("others").between(2, max_group)))).mapInArrow(_covered_map(least, gram), "h bigint, c bigint, fr int, til int")
     parts = whole.unionByName(scanned)
@@ -312,7 +312,7 @@ def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM, max_gro
 
     Contexts that repeat whole are groups of their own (k = -1).  Grams with more than max_group contexts are left to ``covered``.
     """
-    found = cut(contexts(docs, least, gram))
+    found = written(contexts(docs, least, gram))
     whole = found.where((F.col("n") > 1) & (F.col("lft") + F.col("rgt") >= least)).select("h", F.lit(-1).alias("k"), (F.col("lft") + F.col("rgt")).cast("int").alias("length"), "c", F.col("lft").cast("int").alias("back"))
     scanned = _sorted(_read(docs, found.where(F.col("others").between(2, max_group)))).mapInArrow(_groups_map(least, gram), "h bigint, k int, length int, c bigint, back int")
     every = whole.unionByName(scanned).join(occurrences(docs, least, gram), ["h", "c"])
@@ -322,7 +322,9 @@ def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM, max_gro
 
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
     """doc_id, th, spans: the repeated byte spans (s, e) of each document that has any, sorted, not yet merged."""
-    met = occurrences(docs, least, gram).join(covered(docs, least, gram, max_group), ["h", "c"])
+    # Written (columns pack better than checkpointed rows), so that the join's two sides are plain exchanges and a passage that very many documents share is split among tasks.
+    found = written(covered(docs, least, gram, max_group))
+    met = occurrences(docs, least, gram).join(found, ["h", "c"])
     return met.select("doc_id", "th", F.struct((F.col("pos") + F.col("fr")).alias("s"), (F.col("pos") + F.col("til")).alias("e")).alias("span")).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
