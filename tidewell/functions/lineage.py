@@ -11,5 +11,5 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once, in the folder that spark.checkpoint.dir names; a folder of its own only where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
     return df.checkpoint(eager=True)
