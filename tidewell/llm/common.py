@@ -124,7 +124,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the cluster's shared checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -132,7 +132,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the cluster's shared checkpoint folder, read again."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewell-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewell-checkpoint-")
     path = f"{folder}/tidewell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
