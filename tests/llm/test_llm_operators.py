@@ -183,6 +183,46 @@ def test_similar_copies(spark, docs):
     assert simhash_similar.dedup(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 64])
+def test_crowded_variants_of_one_text(spark, block):
+    """Variants like the text they were made from and not like each other: no pair that meets is left out."""
+    r = random.Random(5)
+    rows = []
+    for g in range(3):
+        words = [f"w{r.randrange(9000)}" for _ in range(300)]
+        rows.append((1000 * g, " ".join(words)))
+        for c in range(1, 300):
+            at = r.randrange(0, 274)
+            rows.append((1000 * g + c, " ".join(words[:at] + [f"v{r.randrange(10**6)}" for _ in range(24)] + words[at + 24 :])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    prints = {x["doc_id"]: x for x in simhash_similar.fingerprints(d).collect()}
+    whole = {i: sum((x[f"f{k}"] & (2**64 - 1)) << 64 * k for k in range(5)) for i, x in prints.items()}
+    meet = lambda y: y.bit_count() <= 64 and any((y >> 30 * i & (1 << 30) - 1).bit_count() <= 2 for i in range(10))
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in brute.similar(rows):
+        a, b = rows[i][0], rows[j][0]
+        if meet(whole[a] ^ whole[b]):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    cols = [f"f{k}" for k in range(5)]
+    distinct = spark.createDataFrame([(x["node"], *(x[c] for c in cols), i, x["th"]) for i, x in prints.items()], "node bigint, " + ", ".join(f"{c} bigint" for c in cols) + ", doc_id bigint, th bigint")
+    node = {x["node"]: i for i, x in prints.items()}
+    got = collections.defaultdict(set)
+    roots = {x["node"]: x["root"] for x in connect(simhash_similar.links(d, distinct, block=block)).collect()}
+    for n, i in node.items():
+        got[roots.get(n, n)].add(i)
+    want = collections.defaultdict(set)
+    for i, _ in rows:
+        want[top(i)].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert max(map(len, want.values())) > 200
+
+
 def test_thresholds_are_allocated_by_cost():
     assert simhash.allocate([{-1: 0, 0: 5, 1: 9}, {-1: 0, 0: 1, 1: 2}, {-1: 0, 0: 7, 1: 50}], 0) == (7.0, [0, 1, -1])
     groups = simhash.bit_groups(np.eye(64) * 5, 10, 3)
