@@ -6,7 +6,8 @@ document) and distinct owner (here: the ``source``).  A value held by at least
 ``example_owners`` owners, or by at least ``example_repos`` repositories of one
 owner, is a widely copied ``example``; every other value is ``live``: it
 belongs to its owner.  Base spans stay whatever the verdict; the operator
-adds the kinds ``bearer``, ``pem`` and ``jwt``.
+adds the kinds ``bearer``, ``pem`` and ``jwt``.  A ``pem`` is the whole block of
+a private key, and its secret part the body.
 
 Only hashes, ids and owners are shuffled, and each is combined on the map side
 to one row a task; the join back to the documents that hold candidates is an
@@ -30,7 +31,11 @@ ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 BEARER = r"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}+"
-PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+PEM_HEAD, PEM_END = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+#: White space in a key's block, also as it is escaped in strings.
+PEM_GAP = r"(?:\s|\\[nrt])"
+#: A block through its END line; without one, the header fields and base64 lines that follow, the last of which may be short.
+PEM = rf"{PEM_HEAD}(?:[^-]*+(?:-(?!----)[^-]*+)*+{PEM_END}|(?:{PEM_GAP}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{PEM_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:(?<=[A-Za-z0-9+/]{{16}})(?:[\r\n]|\\[nr])++[A-Za-z0-9+/]++={{0,2}}+(?=\s*+$|[\r\n]|\\[nr]))?)"
 JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 KINDS = {
     "assign": (ASSIGN, lambda t: t.rlike("(?i)passw|secret|token|api_?key"), 6),
@@ -48,6 +53,9 @@ MASK = "[SECRET]"
 def value(kind: str, v: Column) -> Column:
     if kind == "assign":
         return F.regexp_replace(v, ASSIGN_HEAD, "")
+    if kind == "pem":
+        # A header without a key has no other part.
+        return let(F.regexp_replace(v, f"{PEM_HEAD}|{PEM_END}|{PEM_GAP}", ""), lambda body: F.when(body == "", v).otherwise(body))
     return F.regexp_replace(v, r"^(?i:bearer)\x20+", "") if kind == "bearer" else v
 
 
@@ -111,7 +119,8 @@ def redact(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE
     _, marked = verdicts(docs, owner, example_owners, example_repos)
     both = attach(row, marked).select("_row", F.col("live").alias("_live"))
     clean = text_of(F.col("_row.text"))
-    for kind in KINDS:
+    # Whole key blocks first: a match of another kind inside one would change its body.
+    for kind in sorted(KINDS, key=lambda k: k != "pem"):
         clean = masked(clean, kind, F.col("_live"))
     new = both.select("_row", F.when(F.col("_live").isNotNull(), clean).otherwise(F.col("_row.text")).alias("_text"), F.col("_live").isNotNull().alias("_hit"))
     fields = {"text": F.col("_text"), "n_chars": F.when(F.col("_hit"), F.length("_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))).otherwise(F.col("_row.n_chars")) if "n_chars" in cols else None}
