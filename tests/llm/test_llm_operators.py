@@ -107,6 +107,17 @@ def test_private_keys_are_whole_blocks(spark):
     assert [(y["s"], y["e"], y["live"]) for y in found[0] if y["kind"] == "pem"] == [(2, 2 + len(blocks[0]), True)]
 
 
+def test_one_owner_is_never_an_example(spark):
+    rows = [(i, f"text {i} password=ownedby_a", "a") for i in range(40)]
+    rows += [(100 + i, "copy password=twocopied", "ab"[i % 2]) for i in range(40)]
+    rows += [(200 + i, f"text {i} password=changeme1", "ab"[i % 2]) for i in range(40)]
+    rows += [(300 + i, "text password=nullowner", [None, "a", "b"][i % 3]) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    live = {x["doc_id"]: [y["live"] for y in x["found"]] for x in secret_scan.scan(d).collect()}
+    assert all(live[i] == [True] for i in range(40)) and all(live[100 + i] == [True] for i in range(40))
+    assert all(live[200 + i] == [False] for i in range(40)) and all(live[300 + i] == [False] for i in range(3))
+
+
 def test_licences(docs):
     out = license_scan.report(docs)
     assert tally(out, "n_words", "n_base", "first_word", "last_word", "base_labels") == brutally(brute.licences)

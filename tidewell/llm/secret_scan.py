@@ -2,10 +2,11 @@
 
 Patterns propose candidates.  Each candidate's secret part is hashed; the
 hashes are aggregated over the whole corpus by distinct repository (here: the
-document) and distinct owner (here: the ``source``).  A value held by at least
-``example_owners`` owners, or by at least ``example_repos`` repositories of one
-owner, is a widely copied ``example``; every other value is ``live``: it
-belongs to its owner.  Base spans stay whatever the verdict; the operator
+document's text, so that copies count once) and distinct owner (here: the
+``source``).  A value held by at least ``example_owners`` owners, or by more
+than one owner and at least ``example_repos`` repositories, is a widely copied
+``example``; every other value is ``live``: it belongs to its owner.  A single
+owner's value is never an example, however often it occurs.  Base spans stay whatever the verdict; the operator
 adds the kinds ``bearer``, ``pem`` and ``jwt``.  A ``pem`` is the whole block of
 a private key, and its secret part the body.
 
@@ -71,11 +72,11 @@ def candidates(text: Column) -> Column:
 
 
 def ownership(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """h, owners, repos: for each candidate value, its distinct owners and documents over the whole corpus."""
-    base = docs.select(F.col("doc_id"), F.col(owner).alias("owner"), text_of().alias("text"))
-    rows = base.select("doc_id", "owner", F.explode(F.transform(candidates(F.col("text")), lambda x: x["h"])).alias("h"))
-    by_owner = rows.groupBy("h", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("h", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    """h, owners, repos: for each candidate value, its distinct owners and distinct texts over the whole corpus."""
+    base = docs.select(F.col(owner).alias("owner"), text_of().alias("text"))
+    rows = base.select("owner", F.xxhash64("text").alias("th"), F.explode(F.transform(candidates(F.col("text")), lambda x: x["h"])).alias("h"))
+    # A null owner counts, in a struct.
+    return rows.groupBy("h").agg(F.count_distinct(F.struct("owner")).alias("owners"), F.count_distinct("th").alias("repos"))
 
 
 def verdicts(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +84,7 @@ def verdicts(docs: DataFrame, owner: str = "source", example_owners: int = EXAMP
     rows = keyed(docs).select("doc_id", "th", candidates(F.col("text")).alias("found"))
     held = rows.where(F.size("found") > 0).select("doc_id", "th", F.explode(F.array_distinct(F.transform("found", lambda x: x["h"]))).alias("h"))
     # Cut, so that the join's two sides are plain exchanges and a value that very many documents hold is split among tasks.
-    live = cut(ownership(docs, owner).where((F.col("owners") < example_owners) & (F.col("repos") < example_repos)).select("h"))
+    live = cut(ownership(docs, owner).where((F.col("owners") < example_owners) & ((F.col("owners") < 2) | (F.col("repos") < example_repos))).select("h"))
     marked = held.join(live, "h", "left_semi").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("h")).alias("live"))
     return rows, marked
 
