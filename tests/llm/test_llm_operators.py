@@ -256,6 +256,16 @@ def test_crowded_variants_of_one_text(spark, block):
     assert max(map(len, want.values())) > 200
 
 
+@pytest.mark.parametrize("module", [simhash, simhash_similar])
+def test_unlinked_rows_stay_whatever_their_ids(spark, module):
+    r = random.Random(9)
+    prose = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    one = prose()
+    rows = [(None, prose()) for _ in range(5)] + [(7, prose()) for _ in range(4)] + [(8, prose())] + [(None, one), (7, one), (9, one), (9, one)]
+    kept = [tuple(x) for x in module.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([*rows[:10], (7, one)], key=str)
+
+
 def test_thresholds_are_allocated_by_cost():
     assert simhash.allocate([{-1: 0, 0: 5, 1: 9}, {-1: 0, 0: 1, 1: 2}, {-1: 0, 0: 7, 1: 50}], 0) == (7.0, [0, 1, -1])
     groups = simhash.bit_groups(np.eye(64) * 5, 10, 3)

@@ -44,9 +44,9 @@ def connect(edges: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their components; found: doc_id, th, component_id."""
+    """The rows of docs that stand for their components; found: doc_id, th, root.  Ids may be null or repeated, roots tell components apart."""
     cols = docs.columns
-    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
     stay = attach(least, found.groupBy("doc_id", "th").agg(F.count("*").alias("n")))
     row = docs.select(F.struct(*(docs[c] for c in cols)).alias("_row"), docs["doc_id"].alias("doc_id"), F.xxhash64(text_of(docs["text"])).alias("th"))
     kept = attach(row, stay).where(F.col("n").isNotNull())

@@ -183,13 +183,13 @@ def _tagged(k: int):
 
 
 def assign(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, parts: tuple[int, ...] = PARTS) -> DataFrame:
-    """doc_id, th, fp, component_id for every row."""
+    """doc_id, th, fp, component_id and root (the component's least node) for every row."""
     rows = cut(fingerprints(docs, shingle))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connect(links(distinct, radius, bucket, parts))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(component, "root").select("fp", "component_id"), "fp").select("doc_id", "th", "fp", "component_id")
+    return rows.join(rooted.join(component, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
 def report(docs: DataFrame) -> DataFrame:
