@@ -127,6 +127,25 @@ def test_licences(docs):
     assert sum(len(own) for _, own in license_scan.rules()) > 200
 
 
+def test_every_wording_opens_its_gate(spark):
+    import re
+
+    outer = license_scan.gate_of([p for f in license_scan.FAMILIES for p in license_scan.phrases(f)])
+    gates = dict(zip(license_scan.FAMILIES, (g for g, _ in license_scan.rules()), strict=True))
+    texts = []
+    for family, (names, _) in license_scan.FAMILIES.items():
+        for text in (*names, f"spdx license identifier {family}"):
+            assert re.search(gates[family], f" {text} ") and re.search(outer, f" {text} ")
+            texts.append((len(texts), f"see the {text} here", family))
+    d = spark.createDataFrame(texts, "doc_id int, text string, family string")
+    labels = {x["doc_id"]: {y["label"] for y in x["found"]} for x in license_scan.scan(d).collect()}
+    # Words have no hyphens, so this one identifier has no form in a blanked text.
+    missed = [t for i, t, f in texts if not any(y.startswith(f) for y in labels[i]) and "identifier public-domain" not in t]
+    assert not missed
+    library = next(i for i, t, _ in texts if "gnu library" in t)
+    assert labels[library] == {"lgpl"}
+
+
 def test_quality_rules(docs, labels):
     out = quality_rules.score(docs, labels)
     assert tally(out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == brutally(brute.rules)

@@ -2,9 +2,9 @@
 
 The text is ASCII-lower-cased and cut to words; signatures are regular
 expressions over the words joined by single blanks.  The rules are built from
-families (name, keyword, wordings, versions) and wordings of notices, about
+families (name, wordings, versions) and wordings of notices, about
 four hundred in all, in order of priority.  A family's rules run only where
-its keyword occurs.  Detections are then swept by place: one that lies inside
+one of its wordings occurs.  Detections are then swept by place: one that lies inside
 another is suppressed, of two that overlap in part the one with the better
 (smaller) priority stays.  Base phrases and their labels always stay.
 
@@ -23,33 +23,33 @@ from tidewell.llm.common import PIECE, WORD, ascii_lower, find_spans, indices, l
 
 #: Fixed values of the base rules.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: family: (keyword, wordings, versions; "" is none given).
+#: family: (wordings, versions; "" is none given).
 FAMILIES = {
-    "apache": ("apache", ("apache license", "apache software license", "asl"), ("2 0", "1 1", "1 0", "")),
-    "gpl": ("gpl|general public", ("gnu general public license", "gnu gpl", "gpl", "general public license"), ("3 0", "2 0", "3", "2", "1", "")),
-    "lgpl": ("lgpl|lesser general", ("gnu lesser general public license", "gnu library general public license", "lgpl"), ("3 0", "2 1", "2 0", "3", "2", "")),
-    "agpl": ("agpl|affero", ("gnu affero general public license", "affero general public license", "agpl"), ("3 0", "3", "1", "")),
-    "mit": ("mit", ("mit license", "mit x11 license", "expat license"), ("",)),
-    "bsd": ("bsd", ("bsd 3 clause", "bsd 2 clause", "bsd 4 clause", "new bsd license", "simplified bsd license", "bsd license"), ("",)),
-    "mpl": ("mozilla|mpl", ("mozilla public license", "mpl"), ("2 0", "1 1", "1 0", "")),
-    "epl": ("eclipse|epl", ("eclipse public license", "epl"), ("2 0", "1 0", "")),
-    "cddl": ("cddl|common development", ("common development and distribution license", "cddl"), ("1 1", "1 0", "")),
-    "cc": ("cc|creative commons", ("cc by nc sa", "cc by nc nd", "cc by nc", "cc by sa", "cc by nd", "cc by", "creative commons attribution noncommercial sharealike", "creative commons attribution noncommercial", "creative commons attribution sharealike", "creative commons attribution"), ("4 0", "3 0", "2 5", "2 0", "1 0", "")),
-    "cc0": ("cc0|cc zero", ("cc0", "cc zero", "creative commons zero"), ("1 0", "")),
-    "isc": ("isc", ("isc license",), ("",)),
-    "zlib": ("zlib", ("zlib license", "zlib libpng license"), ("",)),
-    "boost": ("boost", ("boost software license",), ("1 0", "")),
-    "artistic": ("artistic", ("artistic license", "perl artistic license"), ("2 0", "1 0", "")),
-    "python": ("python", ("python software foundation license", "psf license"), ("2", "")),
-    "eupl": ("eupl|european union public", ("european union public licence", "eupl"), ("1 2", "1 1", "1 0", "")),
-    "unlicense": ("unlicense", ("the unlicense", "unlicense"), ("",)),
-    "wtfpl": ("wtfpl|what the fuck", ("wtfpl", "do what the fuck you want to public license"), ("2", "")),
-    "odbl": ("odbl|open database", ("open database license", "odbl"), ("1 0", "")),
-    "ofl": ("ofl|open font", ("sil open font license", "ofl"), ("1 1", "1 0", "")),
-    "ms": ("microsoft", ("microsoft public license", "microsoft reciprocal license"), ("",)),
-    "public-domain": ("public domain", ("released into the public domain", "dedicated to the public domain", "in the public domain"), ("",)),
-    "reserved": ("rights reserved", ("all rights reserved", "some rights reserved"), ("",)),
-    "proprietary": ("confidential|proprietary", ("proprietary and confidential", "confidential and proprietary"), ("",)),
+    "apache": (("apache license", "apache software license", "asl"), ("2 0", "1 1", "1 0", "")),
+    "gpl": (("gnu general public license", "gnu gpl", "gpl", "general public license"), ("3 0", "2 0", "3", "2", "1", "")),
+    "lgpl": (("gnu lesser general public license", "gnu library general public license", "lgpl"), ("3 0", "2 1", "2 0", "3", "2", "")),
+    "agpl": (("gnu affero general public license", "affero general public license", "agpl"), ("3 0", "3", "1", "")),
+    "mit": (("mit license", "mit x11 license", "expat license"), ("",)),
+    "bsd": (("bsd 3 clause", "bsd 2 clause", "bsd 4 clause", "new bsd license", "simplified bsd license", "bsd license"), ("",)),
+    "mpl": (("mozilla public license", "mpl"), ("2 0", "1 1", "1 0", "")),
+    "epl": (("eclipse public license", "epl"), ("2 0", "1 0", "")),
+    "cddl": (("common development and distribution license", "cddl"), ("1 1", "1 0", "")),
+    "cc": (("cc by nc sa", "cc by nc nd", "cc by nc", "cc by sa", "cc by nd", "cc by", "creative commons attribution noncommercial sharealike", "creative commons attribution noncommercial", "creative commons attribution sharealike", "creative commons attribution"), ("4 0", "3 0", "2 5", "2 0", "1 0", "")),
+    "cc0": (("cc0", "cc zero", "creative commons zero"), ("1 0", "")),
+    "isc": (("isc license",), ("",)),
+    "zlib": (("zlib license", "zlib libpng license"), ("",)),
+    "boost": (("boost software license",), ("1 0", "")),
+    "artistic": (("artistic license", "perl artistic license"), ("2 0", "1 0", "")),
+    "python": (("python software foundation license", "psf license"), ("2", "")),
+    "eupl": (("european union public licence", "eupl"), ("1 2", "1 1", "1 0", "")),
+    "unlicense": (("the unlicense", "unlicense"), ("",)),
+    "wtfpl": (("wtfpl", "do what the fuck you want to public license"), ("2", "")),
+    "odbl": (("open database license", "odbl"), ("1 0", "")),
+    "ofl": (("sil open font license", "ofl"), ("1 1", "1 0", "")),
+    "ms": (("microsoft public license", "microsoft reciprocal license"), ("",)),
+    "public-domain": (("released into the public domain", "dedicated to the public domain", "in the public domain"), ("",)),
+    "reserved": (("all rights reserved", "some rights reserved"), ("",)),
+    "proprietary": (("proprietary and confidential", "confidential and proprietary"), ("",)),
 }
 #: Notices, best first: pattern around the licence's name, priority, confidence.
 NOTICES = (
@@ -61,10 +61,23 @@ ONE = "struct<s:int,e:int,priority:int,label:string,confidence:double>"
 BLANK_SPAN = f"array<{ONE}>"
 
 
+def gate_of(phrases: list[str]) -> str:
+    """An expression that finds any of these phrases in a blanked text, grouped by first letter."""
+    heads: dict[str, list[str]] = {}
+    for p in sorted(set(phrases)):
+        heads.setdefault(p[0], []).append(p[1:])
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in heads.items()) + ") "
+
+
+def phrases(family: str) -> list[str]:
+    """What every text that some rule of a family matches contains: its wordings, or its short name after an identifier."""
+    return [*FAMILIES[family][0], f"identifier {family}"]
+
+
 def rules() -> list[tuple[str, list[tuple[str, int, str, float]]]]:
     """(gate, its rules in order of priority: pattern, priority, label, confidence), a row for each family."""
     out = []
-    for family, (gate, names, versions) in FAMILIES.items():
+    for family, (names, versions) in FAMILIES.items():
         own = []
         for notice, priority, confidence in NOTICES:
             # The identifier form also takes the family's own short name.
@@ -78,7 +91,7 @@ def rules() -> list[tuple[str, list[tuple[str, int, str, float]]]]:
                     elif v:
                         label = f"{family}-{v.replace(' ', '.')}"
                     own.append((r"(?<= )" + notice.format(body) + r"(?= )", 10 * priority + (0 if v else 5), label, round(confidence - (0.0 if v else 0.1), 2)))
-        out.append((gate, sorted(own, key=lambda r: r[1])))
+        out.append((gate_of(phrases(family)), sorted(own, key=lambda r: r[1])))
     return out
 
 
@@ -146,9 +159,9 @@ def base_places(w: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base: (at in words, label), found: the resolved detections in code points of the blanked text."""
     rows = docs.select(F.col("doc_id"), words(ascii_lower(text_of()), WORD).alias("w"))
-    gate = "cc|general|rights|" + "|".join(g for g, *_ in FAMILIES.values())
+    gate = gate_of([p for family in FAMILIES for p in phrases(family)])
     rows = rows.select("doc_id", "w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"))
-    rows = rows.select("doc_id", "w", "t", F.col("t").rlike(rf" (?:{gate})").alias("open"))
+    rows = rows.select("doc_id", "w", "t", F.col("t").rlike(gate).alias("open"))
     return rows.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
