@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
-from tidewell.codec import codes
+from tidewell.codec import codes, tans
+from tidewell.codec.costs import CostModel
 from tidewell.codec.errors import Corrupted, EmptyInput
 
 Token = tuple[int, int]
@@ -51,7 +51,7 @@ class Matcher:
         i, left = self.last.get(data[at : at + MIN_MATCH], -1), self.effort.depth
         while i >= 0 and left and at - i <= self.effort.window:
             if best < most and data[i + best] == data[at + best]:
-                n = self._length(i, at, most)
+                n = self.common(i, at, most)
                 if n > best:
                     best = n
                     found.append((n, at - i))
@@ -60,7 +60,8 @@ class Matcher:
             i, left = self.before[i], left - 1
         return found[-self.effort.candidates :]
 
-    def _length(self, i: int, at: int, most: int) -> int:
+    def common(self, i: int, at: int, most: int) -> int:
+        """How many bytes from i on, up to most, are those from at on."""
         data, n, step = self.data, 0, 16
         while n < most:
             k = min(step, most - n)
@@ -93,39 +94,39 @@ def _eager(data: bytes, effort: Effort, wait: bool) -> list[Token]:
     return out
 
 
-def _bit_costs(symbols: list[int]) -> dict[int, float]:
-    seen = Counter(symbols)
-    total = len(symbols) + 256
-    return {s: -math.log2((n + 1) / total) for s, n in seen.items()} | {-1: math.log2(total)}
+def _cheapest(data: bytes, effort: Effort, cost: CostModel) -> list[Token]:
+    """The cheapest path through literals, matches and matches at one of the last offsets.
 
-
-def token_costs(tokens: list[Token]) -> tuple[dict[int, float], dict[int, float], dict[int, float]]:
-    """Bits of literals, length codes and offset codes by their counts; -1 is any symbol not seen."""
-    lengths, offsets = zip(*((n, o) for n, o in tokens if n), strict=True) if any(n for n, _ in tokens) else ((), ())
-    return _bit_costs([b for n, b in tokens if not n]), _bit_costs([codes.length_code(n)[0] for n in lengths]), _bit_costs([codes.offset_code(o)[0] for o in offsets])
-
-
-def _optimal(data: bytes, effort: Effort) -> list[Token]:
-    """The cheapest path through all literals and matches, by the symbol costs of a greedy parse."""
-    literal, length, offset = token_costs(_eager(data, effort, False))
-    cheapest: list[float] = [0.0] + [math.inf] * len(data)
+    Each place keeps the last offsets of the cheapest way to it.
+    """
+    best: list[float] = [0.0] + [math.inf] * len(data)
     came: list[Token] = [(0, 0)] * (len(data) + 1)
+    held: list[tuple[int, ...]] = [codes.FIRST_OFFSETS] * (len(data) + 1)
+    lengths = [cost.length(n) for n in range(MIN_MATCH, 129)]
     m = Matcher(data, effort)
+
+    def reach(at: int, shortest: int, longest: int, o: int, base: float, after: tuple[int, ...]) -> None:
+        for n in (*range(shortest, min(longest, 128)), longest):
+            c = base + (lengths[n - MIN_MATCH] if n <= 128 else cost.length(n))
+            if c < best[at + n]:
+                best[at + n], came[at + n], held[at + n] = c, (n, o), after
+
     for at in range(len(data)):
         m.upto(at)
-        here = cheapest[at]
-        cost = here + 1 + literal.get(data[at], literal[-1])
-        if cost < cheapest[at + 1]:
-            cheapest[at + 1], came[at + 1] = cost, (0, data[at])
+        own = held[at]
+        c = best[at] + 1 + cost.literals[data[at]]
+        if c < best[at + 1]:
+            best[at + 1], came[at + 1], held[at + 1] = c, (0, data[at]), own
+        most = min(MAX_MATCH, len(data) - at)
+        if most < MIN_MATCH:
+            continue
+        for place, o in enumerate(own):
+            if o <= at and data[at - o : at - o + MIN_MATCH] == data[at : at + MIN_MATCH]:
+                reach(at, MIN_MATCH, m.common(at - o, at, most), o, best[at] + 1 + cost.offsets[place], (o, *(x for x in own if x != o)))
         shortest = MIN_MATCH
         for longest, o in m.matches(at):
-            oc, ox, _ = codes.offset_code(o)
-            base = here + 1 + ox + offset.get(oc, offset[-1])
-            for n in (*range(shortest, min(longest, 128)), longest):
-                lc, lx, _ = codes.length_code(n)
-                cost = base + lx + length.get(lc, length[-1])
-                if cost < cheapest[at + n]:
-                    cheapest[at + n], came[at + n] = cost, (n, o)
+            if o not in own:
+                reach(at, shortest, longest, o, best[at] + 1 + cost.offset(o), (o, *own[:2]))
             shortest = min(longest + 1, 128)
     out, at = [], len(data)
     while at:
@@ -134,6 +135,14 @@ def _optimal(data: bytes, effort: Effort) -> list[Token]:
     return out[::-1]
 
 
+def _optimal(data: bytes, effort: Effort) -> list[Token]:
+    """The cheapest paths by the costs of a greedy parse and of the path itself; the smallest coded of all three is taken."""
+    found = [_eager(data, effort, False)]
+    for _ in range(2):
+        found.append(_cheapest(data, effort, CostModel.of_counts(found[-1])))
+    return min(found, key=lambda t: len(tans.encode_tokens(t)))
+
+
 def parse(data: bytes, parser: str = "lazy", effort: Effort = Effort()) -> list[Token]:
     if not data:
         raise EmptyInput("nothing to parse")
@@ -142,17 +151,26 @@ def parse(data: bytes, parser: str = "lazy", effort: Effort = Effort()) -> list[
     return _optimal(data, effort) if parser == "optimal" else _eager(data, effort, parser == "lazy")
 
 
+def check(tokens: list[Token], size: int | None = None) -> int:
+    """How many bytes the tokens stand for; one that is malformed, reaches before the start or past size is an error."""
+    at = 0
+    for n, x in tokens:
+        if n and (n < MIN_MATCH or n > MAX_MATCH or not 0 < x <= at) or not n and not 0 <= x < codes.LITERALS:
+            raise Corrupted(f"token ({n}, {x}) at {at}")
+        at += n or 1
+        if size is not None and at > size:
+            raise Corrupted("the tokens are longer than the block")
+    return at
+
+
 def replay(tokens: list[Token], size: int | None = None) -> bytes:
-    """The bytes; a token that reaches before the start, or past size, is an error."""
+    """The bytes; a token that reaches before the start, or past size, is an error, found before anything is made."""
+    check(tokens, size)
     out = bytearray()
     for n, x in tokens:
         if not n:
             out.append(x)
             continue
-        if n < MIN_MATCH or n > MAX_MATCH or not 0 < x <= len(out):
-            raise Corrupted(f"match of length {n}, offset {x} at {len(out)}")
-        if size is not None and len(out) + n > size:
-            raise Corrupted("the tokens are longer than the block")
         at = len(out) - x
         if x >= n:
             out += out[at : at + n]

@@ -192,10 +192,11 @@ def encode_tokens(tokens: list[tuple[int, int]]) -> bytes:
     return w.finish()
 
 
-def decode_tokens(data: bytes) -> list[tuple[int, int]]:
+def decode_tokens(data: bytes, most: int | None = None) -> list[tuple[int, int]]:
+    """The tokens; more than most of them are an error, found before any is made."""
     r = BitReader(data)
     counts = [r.take(32), r.take(32)]
-    if sum(counts) > MOST_PER_BYTE * len(data):
+    if sum(counts) > MOST_PER_BYTE * len(data) or most is not None and sum(counts) > most:
         raise Corrupted("more tokens than the stream can hold")
     counts.append(counts[1])
     logs, flags = [r.take(8) for _ in range(3)], r.take(8)
