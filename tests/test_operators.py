@@ -186,7 +186,9 @@ def test_frame_files(spark, tmp_path):
     from pyspark.sql.datasource import EqualTo, IsNotNull
 
     assert list(reader.pushFilters([EqualTo(("block_id",), 1), IsNotNull(("block_id",))])) == [IsNotNull(("block_id",))]
-    assert {p.value[1] for p in reader.partitions()} == {1}
+    assert {r[1] for p in reader.partitions() for r in reader.read(p)} == {1}
+    cut_up = frames.planned([("a", 10), ("b", 25), ("c", 0), ("d", 3)], 10)
+    assert cut_up == [[("a", 0, 10)], [("b", 0, 10)], [("b", 10, 20)], [("b", 20, 25), ("c", 0, 0), ("d", 0, 3)]]
 
 
 def test_streamed_blocks(spark, sf, tmp_path):
