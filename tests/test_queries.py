@@ -3,8 +3,10 @@ import pytest
 
 import __spark_entry__ as entry
 
-SQL = entry.oracle_sql()
-NAMES = [n for n in entry.queries() if n != "pipeline" and not n.startswith("op")]
+from tidewell.plans.queries import ORACLE as SQL  # noqa: E402
+from tidewell.plans.queries import QUERIES  # noqa: E402
+
+NAMES = list(QUERIES)
 
 
 def test_entry(spark):
@@ -23,4 +25,4 @@ def test_query(spark, sf, name):
 
 
 def test_sql_names_are_queries():
-    assert set(SQL) <= set(entry.queries())
+    assert set(SQL) <= set(QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())

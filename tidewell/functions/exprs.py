@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.codec import codes
+from tidewell.codec import codes, schema
 
 WHOLE = "decimal(38,0)"
 
@@ -129,6 +129,16 @@ def offset_code(o: str | Column) -> Column:
     return _band(_column(o), codes.OFFSET_BASE) + codes.REPEATS
 
 
+def guessed_stride(size: str | Column, name: str | Column) -> Column:
+    """The record width that schema.guess_stride takes an untyped file of that size and name to have."""
+    size, name = _column(size), _column(name)
+    fits = F.filter(F.array(*map(F.lit, schema.STRIDES)), lambda s: (size % s == 0) & (F.floor(size / s) >= 10))
+    text = F.lit(False)
+    for ending in schema.TEXT_ENDINGS:
+        text = text | F.lower(name).endswith(ending)
+    return F.when(text | (size < 1024), 0).otherwise(F.coalesce(F.get(fits, 0), F.lit(0))).cast("int")
+
+
 def entropy(counts: str | Column, total: str | Column) -> Column:
     """Aggregate: order-0 bits of symbols, from a row for each symbol with its count and the total."""
     p = _column(counts) / _column(total)

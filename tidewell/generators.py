@@ -20,12 +20,21 @@ def temperatures(spark: SparkSession, n: int) -> DataFrame:
 
 
 def counters(spark: SparkSession, n: int) -> DataFrame:
-    """A running count; its closed form needs no window over the whole series."""
-    i = F.col("id")
-    # Sum of 1 + k mod 3 over k < i, and of the extra jumps at every 500th element.
+    """A running count in closed form: no window over the series, and as much work for each row.
+
+    Every 500th element jumps; the jumps come again after 303 of them, as 500 k
+    goes round modulo 101 and modulo 3 in that time.
+    """
+    i, period = F.col("id"), 101 * 3
+    sums = [0]
+    for k in range(1, period + 1):
+        last = 500 * k - 1
+        sums.append(sums[-1] + 100 + last % 101 - (1 + last % 3))
+    # Sum of 1 + k mod 3 over k < i, and of what the jumps are more than that.
     plain = i + 3 * F.floor(i / 3) + F.when(i % 3 == 2, 1).otherwise(0)
     jumps = F.floor(i / 500)
-    extra = F.aggregate(F.sequence(F.lit(1), F.greatest(jumps, F.lit(1))), F.lit(0).cast("bigint"), lambda a, k: a + F.when(k <= jumps, 100 + (500 * k - 1) % 101 - (1 + (500 * k - 1) % 3)).otherwise(0))
+    table = F.from_json(F.lit(str(sums[:period])), "array<bigint>")
+    extra = F.floor(jumps / period) * sums[period] + F.get(table, (jumps % period).cast("int"))
     return spark.range(n).select(i.alias("i"), (1000 + plain + extra).cast("bigint").alias("v"))
 
 
@@ -79,6 +88,13 @@ def telemetry(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(i.alias("seq"), (20 + 0.01 * i).cast("float").alias("temp"), (50 + 0.005 * i).cast("float").alias("humidity"))
 
 
+def readings(spark: SparkSession, n: int) -> DataFrame:
+    """Records of 12 bytes: id u32, temp f32, hum f32."""
+    i = F.col("id")
+    t = i.cast("double")
+    return spark.range(n).select((1000 + F.floor(i / 100)).alias("id"), (22.5 + 0.001 * F.sin(t)).cast("float").alias("temp"), (55 + 0.001 * F.cos(t)).cast("float").alias("hum"), i.alias("i"))
+
+
 def points(spark: SparkSession, n: int) -> DataFrame:
     """Records of 24 bytes: a helix."""
     t = F.col("id").cast("double")
@@ -89,4 +105,4 @@ def standard(spark: SparkSession, n: int) -> dict[str, DataFrame]:
     return {"timestamps": timestamps(spark, n), "temperatures": temperatures(spark, n), "counters": counters(spark, n), "vibration": vibration(spark, n), "constant": constant(spark, n), "random": random_bytes(spark, n)}
 
 
-__all__ = ["constant", "counters", "lcg_bytes", "points", "random_bytes", "standard", "telemetry", "temperatures", "timestamps", "vibration"]
+__all__ = ["constant", "counters", "lcg_bytes", "points", "random_bytes", "readings", "standard", "telemetry", "temperatures", "timestamps", "vibration"]

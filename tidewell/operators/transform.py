@@ -27,8 +27,8 @@ def pack_series(df: DataFrame, series: list[str], order: list[str], value: str,
         v = pdf.sort_values("row_index")[value].to_numpy()
         return pdf[[*series, "block_id"]].head(1).assign(n_values=len(v), data=v.astype(dtype).tobytes())
 
-    types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in series)
-    return blocks.select(*series, "block_id", "row_index", value).groupBy(*series, "block_id").applyInPandas(pack, f"{types}, block_id bigint, n_values bigint, data binary")
+    types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in series)
+    return blocks.select(*series, "block_id", "row_index", value).groupBy(*series, "block_id").applyInPandas(pack, f"{types}block_id bigint, n_values bigint, data binary")
 
 
 def unpack_values(df: DataFrame, data: str, kind: str, name: str = "values") -> DataFrame:

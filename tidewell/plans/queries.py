@@ -12,7 +12,7 @@ from tidewell.codec import codes
 from tidewell.codec.frame import CodecConfig
 from tidewell.codec.quantize import Lossy
 from tidewell.codec.schema import RecordSchema
-from tidewell.functions.exprs import fixed_point, length_code, offset_code, unix_micros, unzigzag, varint_size, zigzag
+from tidewell.functions.exprs import fixed_point, guessed_stride, leading_zeros, length_code, offset_code, trailing_zeros, unix_micros, unzigzag, varint_size, zigzag
 from tidewell.operators import compress, detect, entropy, floats, integer, ordering, quantize, tokens, transform
 from tidewell.plans import report
 from tidewell.sources.block_table import block_index
@@ -211,7 +211,16 @@ def byte_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return floats.byte_deltas(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"], "byte").drop("l_partkey")
 
 
-@query()
+#: The bits of a double by exact arithmetic: exponent, mantissa, sign.
+FLOAT_BITS = """CASE WHEN v = 0 THEN 0 ELSE (e + 1023)::BIGINT * 4503599627370496 + ((abs(v) / pow(2.0::DOUBLE, e) - 1) * 4503599627370496)::BIGINT + CASE WHEN v < 0 THEN -9223372036854775808 ELSE 0 END END"""
+EXPONENT = "f + CASE WHEN abs(v) < pow(2.0::DOUBLE, f) THEN -1 WHEN abs(v) >= pow(2.0::DOUBLE, f + 1) THEN 1 ELSE 0 END"
+ZEROS = "CASE WHEN x = 0 THEN 64 ELSE 64 - length(bin(x)) END::INTEGER AS lead, CASE WHEN x = 0 THEN 64 ELSE length(bin(x)) - length(rtrim(bin(x), '0')) END::INTEGER AS trail"
+
+
+@query(f"""WITH a AS (SELECT user_id, event_id, ts, value AS v, CASE WHEN value <> 0 THEN floor(log2(abs(value))) END AS f FROM events WHERE value IS NOT NULL),
+b AS (SELECT *, {EXPONENT} AS e FROM a), c AS (SELECT user_id, event_id, ts, ({FLOAT_BITS})::BIGINT AS bits FROM b),
+d AS (SELECT *, xor(bits, lag(bits) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS x FROM c)
+SELECT user_id, event_id, bits, x AS xor, {ZEROS} FROM d""")
 def xor_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XOR residuals of each user's values and the zeros around their set bits."""
     return floats.xor_residuals(events(spark, sf_dir), SERIES, ORDER, "value").select("user_id", "event_id", "bits", "xor", "lead", "trail")
@@ -273,19 +282,11 @@ SCHEMA = RecordSchema.of({"seq": "u32", "price": "f64", "qty": "f32"})
 
 @query("SELECT l_suppkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity) - 1) AS row_index, l_orderkey AS seq, l_extendedprice AS price, l_quantity::FLOAT AS qty FROM lineitem")
 def record_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier's lines as packed 16-byte records in a frame, and its columns extracted again."""
-    import numpy as np
-    import pandas as pd
-
-    from tidewell.codec import frame
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"])
-        raw = SCHEMA.pack({"seq": pdf["l_orderkey"].to_numpy(), "price": pdf["l_extendedprice"].to_numpy(), "qty": pdf["l_quantity"].to_numpy(np.float32)})
-        return pdf[["l_suppkey"]].head(1).assign(frame=frame.compress(raw, CodecConfig(kind="raw", parser="greedy", stride=SCHEMA.stride)))
-
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    return compress.extract_columns(rows.groupBy("l_suppkey").applyInPandas(pack, "l_suppkey bigint, frame binary"), SCHEMA, keys=("l_suppkey",))
+    """Each supplier's lines as packed 16-byte records in frames of at most 4096, and their columns extracted again."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("seq"), "l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_quantity").cast("float").alias("qty"))
+    packed = compress.pack_records(rows, ["l_suppkey"], ["seq", "l_linenumber", "price", "qty"], SCHEMA, 4096, CodecConfig(kind="raw", parser="greedy"))
+    out = compress.extract_columns(packed, SCHEMA, keys=("l_suppkey", "block_id"))
+    return out.select("l_suppkey", (F.col("block_id") * 4096 + F.col("row_index")).alias("row_index"), "seq", "price", "qty")
 
 
 @query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS row_index, epoch_us(ts) AS value FROM events")
@@ -319,7 +320,8 @@ def generated_temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.temperatures(spark, 20_000).withColumn("v", F.round("v", 6))
 
 
-@query()
+@query("""WITH RECURSIVE g(i, s) AS (SELECT -1, 16045690984503098046::HUGEINT UNION ALL SELECT i + 1, (s * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 FROM g WHERE i < 4999)
+SELECT i::BIGINT AS i, ((s // 8589934592) % 256)::SMALLINT AS b FROM g WHERE i >= 0""")
 def generated_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.random_bytes(spark, 5000)
 
@@ -386,3 +388,151 @@ def lossy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw against encoded bytes of the standard generated series."""
     return report.ratios(spark)
+
+
+@query("SELECT * FROM (VALUES ('constant', 'i64', 80000), ('counters', 'i64', 80000), ('random', 'i32', 40000), ('temperatures', 'f64sd', 80000), ('timestamps', 'i64', 80000), ('vibration', 'f32sd', 40000)) t(name, kind, raw_bytes), (SELECT true AS same, true AS timed)")
+def dataset_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of the standard series encoded, decoded, compared and timed; the speeds themselves are in report.speeds."""
+    return report.speeds(spark).select("name", "kind", F.col("raw_bytes").cast("int").alias("raw_bytes"), "same", ((F.col("encode_mb_s") > 0) & (F.col("decode_mb_s") > 0)).alias("timed"))
+
+
+@query(f"WITH a AS (SELECT *, epoch_us(ts) AS us FROM events), b AS (SELECT *, xor(us, lag(us) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS x FROM a) SELECT user_id, event_id, x AS xor, {ZEROS} FROM b")
+def xor_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XOR residuals of integers, and the zeros around their set bits."""
+    rows = events(spark, sf_dir).withColumn("x", F.col("us").bitwiseXOR(F.lag("us").over(ordering.window(SERIES, ORDER))))
+    return rows.select("user_id", "event_id", F.col("x").alias("xor"), leading_zeros("x").alias("lead"), trailing_zeros("x").alias("trail"))
+
+
+@query("""WITH v AS (SELECT user_id, 'us' AS series, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events UNION ALL SELECT user_id, 'value', row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 FROM events WHERE value IS NOT NULL),
+k(series, kind) AS (VALUES ('us', 'raw'), ('us', 'i64'), ('us', 'u64'), ('value', 'f64'), ('value', 'f64s'), ('value', 'f64sd'))
+SELECT user_id, i // 1024 AS block_id, series, kind, (8 * count(*))::INTEGER AS size, true AS same FROM v JOIN k USING (series) GROUP BY user_id, block_id, series, kind""")
+def transform_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks through the transform of every lossless 8-byte type and back: what comes back, and how much."""
+    return transform_roundtrip(spark, sf_dir).select("user_id", "block_id", "series", "kind", "size", "same")
+
+
+@query("""WITH p AS (SELECT l_suppkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1) // 512 AS block_id, l_partkey FROM lineitem), k(kind) AS (VALUES ('i32'), ('u32'), ('f32'), ('f32s'), ('f32sd'))
+SELECT l_suppkey, block_id, kind, (4 * count(*))::INTEGER AS size, true AS same FROM p, k GROUP BY ALL""")
+def narrow_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part numbers as 4-byte integers and floats through the transform of every lossless 4-byte type and back."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", F.col("l_partkey").cast("int").alias("n"), F.col("l_partkey").cast("float").alias("x"))
+    out = None
+    for value, plain, names in (("n", "i32", ("i32", "u32")), ("x", "f32", ("f32", "f32s", "f32sd"))):
+        packed = transform.pack_series(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], value, plain, 512).withColumn("size", F.octet_length("data"))
+        for name in names:
+            own = transform.restored(transform.transformed(packed, "data", name), "transformed", "size", name)
+            one = own.select("l_suppkey", "block_id", F.lit(name).alias("kind"), "size", (F.col("data") == F.col("restored")).alias("same"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+NARROW = f"WITH a AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, l_partkey::INTEGER AS n FROM lineitem), b AS (SELECT *, n - lag(n) OVER w AS d FROM a WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, n, l_extendedprice)), c AS (SELECT *, d - lag(d) OVER w AS dd FROM b WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, n, l_extendedprice)) SELECT l_suppkey, count(*) AS n_values, count(*) * 4 AS raw_bytes, ((CASE WHEN count(*) > 1 THEN 9 ELSE 5 END) + coalesce(sum({VARINT.format('dd')}), 0))::BIGINT AS encoded_bytes FROM c GROUP BY l_suppkey"
+
+
+@query(NARROW)
+def narrow_difference_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each supplier's part numbers as 32-bit second-difference streams."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_partkey").cast("int").alias("n"))
+    return integer.encoded_sizes(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "n", "l_extendedprice"], "n", width=32)
+
+
+@query("SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 1024 AS block_id, epoch_us(ts) AS us FROM events")
+def lane_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times through byte lanes and their differences, and back to values."""
+    packed = transform.pack_series(events(spark, sf_dir), SERIES, ORDER, "us", "i64", 1024)
+    there = floats.rearranged(packed, "data", 8, delta=True).withColumnRenamed("rearranged", "lanes")
+    back = floats.rearranged(there, "lanes", 8, delta=True, inverse=True)
+    return transform.unpack_values(back, "rearranged", "i64").select("user_id", "block_id", F.explode("values").alias("us"))
+
+
+@query("SELECT page_id, parser, octet_length(encode(html)) AS n_bytes, sha256(html) AS content_sha256 FROM pages, (VALUES ('greedy'), ('lazy'), ('optimal')) p(parser) WHERE octet_length(encode(html)) BETWEEN 1 AND 3000")
+def token_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short pages from the tokens of each parser again."""
+    rows = table(spark, sf_dir, "pages").where(F.octet_length("html").between(1, 3000)).select("page_id", "html")
+    out = [tokens.replayed(tokens.parsed(rows, "html", p)).select("page_id", F.lit(p).alias("parser"), F.octet_length("data").alias("n_bytes"), F.sha2("data", 256).alias("content_sha256")) for p in ("greedy", "lazy", "optimal")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT page_id, 'raw' AS kind, 2 AS version, 0 AS stride, k AS block_id, least(1024, n - 1024 * k) AS size FROM (SELECT page_id, octet_length(encode(html)) AS n, unnest(range(((octet_length(encode(html)) + 1023) // 1024)::BIGINT)) AS k FROM pages WHERE octet_length(encode(html)) > 0)")
+def frame_block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers say of each page's frame but for what depends on the coder."""
+    return frame_blocks(spark, sf_dir).select("page_id", "kind", "version", "stride", "block_id", "size")
+
+
+@query("SELECT page_id, way, true AS refused FROM pages, (VALUES ('flipped'), ('cut'), ('digest'), ('claims')) w(way) WHERE octet_length(encode(html)) > 0")
+def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with a bit flipped in the middle, cut short, with another digest, or with a header that claims more: none is decoded."""
+    framed = compress.compress_column(table(spark, sf_dir, "pages").select("page_id", "html"), "html", CodecConfig(kind="raw", parser="greedy")).where(F.col("frame").isNotNull())
+    n, piece = F.length("frame"), lambda a, b: F.substring("frame", a, b)
+    turned = lambda at: F.concat(piece(F.lit(1), at - 1), F.unhex(F.lpad(F.hex(F.conv(F.hex(piece(at, F.lit(1))), 16, 10).cast("bigint").bitwiseXOR(F.lit(16))), 2, "0")), piece(at + 1, n))
+    # Byte 11 is the second of the size of the content.
+    ways = {"flipped": turned(F.floor(n / 2).cast("int")), "cut": piece(F.lit(1), n - 33), "digest": turned(n), "claims": turned(F.lit(13))}
+    each = framed.select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("way"), v.alias("frame")) for k, v in ways.items()))).alias("x")).select("page_id", "x.*")
+    out = compress.decompress_column(each, "frame", permissive=True)
+    return out.select("page_id", "way", (F.col("data").isNull() & F.col("error").isNotNull()).alias("refused"))
+
+
+@query("SELECT block_id, least(256, 4000 - 256 * block_id)::BIGINT * 12 AS n_bytes, true AS no_larger FROM range(16) t(block_id)")
+def parser_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured records by the three parsers: the optimal one, which knows repeated offsets, never makes more bytes than the greedy one."""
+    schema = RecordSchema.of({"id": "u32", "temp": "f32", "hum": "f32"})
+    packed = compress.pack_raw(generators.readings(spark, 4000), [], ["i"], schema, 256)
+    for parser in ("greedy", "optimal"):
+        packed = tokens.packed_size(tokens.parsed(packed, "data", parser, name=f"{parser}_tokens"), f"{parser}_tokens", f"{parser}_bytes").drop(f"{parser}_tokens")
+    return packed.select("block_id", F.length("data").cast("bigint").alias("n_bytes"), (F.col("optimal_bytes") <= F.col("greedy_bytes")).alias("no_larger"))
+
+
+@query("SELECT doc_id, n_bytes, guess::INTEGER AS stride FROM (SELECT doc_id, octet_length(encode(text)) AS n_bytes, CASE WHEN doc_id % 3 = 0 OR octet_length(encode(text)) < 1024 THEN 0 ELSE coalesce(list_filter([20, 24, 16, 12, 32, 28, 8, 40, 48, 64], lambda s: octet_length(encode(text)) % s = 0 AND octet_length(encode(text)) // s >= 10)[1], 0) END AS guess FROM documents WHERE text IS NOT NULL)")
+def guessed_strides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record width that a file of each document's size would be taken to have; every third is named as text."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.octet_length("text").alias("n_bytes"), F.concat(F.lit("file"), F.when(F.col("doc_id") % 3 == 0, ".TXT").otherwise(".bin")).alias("name"))
+    return rows.select("doc_id", "n_bytes", guessed_stride("n_bytes", "name").alias("stride"))
+
+
+@query("""WITH b AS (SELECT b, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(event_type || props)), '..')) AS b FROM events) GROUP BY b)
+SELECT ('0x' || b)::INTEGER AS code, n, round(-log2((n + 1) / ((SELECT sum(n) FROM b) + 256)), 6) AS bits FROM b""")
+def literal_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each byte of the events' properties costs as a literal."""
+    counts = entropy.byte_counts(table(spark, sf_dir, "events").select(F.concat("event_type", "props").alias("data")), [], "data")
+    return tokens.code_costs(counts.select(F.lit("literal").alias("stream"), F.col("symbol").alias("code"), "n")).select("code", "n", F.round("bits", 6).alias("bits"))
+
+
+TOKEN_SQL = "SELECT 4 + l_orderkey % 700 AS length, 1 + l_partkey * 13 AS value, l_linenumber > 1 AS is_match FROM lineitem"
+
+
+@query(f"""WITH t AS ({TOKEN_SQL}), c AS (SELECT 'length' AS stream, {_band_sql('length', codes.LENGTH_BASE)} AS code FROM t WHERE is_match UNION ALL SELECT 'offset', {_band_sql('value', codes.OFFSET_BASE, 3)} FROM t WHERE is_match UNION ALL SELECT 'literal', value % 256 FROM t WHERE NOT is_match),
+n AS (SELECT stream, code::INTEGER AS code, count(*) AS n FROM c GROUP BY ALL)
+SELECT stream, code, n, round(-log2((n + 1) / (sum(n) OVER (PARTITION BY stream) + CASE stream WHEN 'literal' THEN 256 WHEN 'length' THEN 52 ELSE 47 END)), 6) AS bits FROM n""")
+def token_symbol_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of tokens made from the lines of orders, and what each costs."""
+    made = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") > 1, F.struct((4 + F.col("l_orderkey") % 700).cast("int").alias("length"), (1 + F.col("l_partkey") * 13).cast("int").alias("value"))).otherwise(F.struct(F.lit(0).alias("length"), ((1 + F.col("l_partkey") * 13) % 256).cast("int").alias("value"))).alias("t"))
+    return tokens.code_costs(tokens.code_counts(made.select(F.array("t").alias("tokens")))).select("stream", "code", "n", F.round("bits", 6).alias("bits"))
+
+
+#: Bounds of the mean and the greatest relative error, by series, type and bits.
+LOSSY_GATES = (("temperatures", "f64pq", 8, 0.005, 0.01), ("vibration", "f32pq", 8, 0.02, 0.10), ("temperatures", "f64pq", 4, 0.03, 0.12))
+
+
+@query("SELECT * FROM (VALUES ('temperatures', 'f64pq', 8), ('vibration', 'f32pq', 8), ('temperatures', 'f64pq', 4)) t(name, kind, bits), (SELECT 102400 AS n_values, true AS mean_ok, true AS greatest_ok)")
+def lossy_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lossy codec's errors on generated series, against their bounds.  Relative to a value's size, or to 1 if it is smaller."""
+    out = None
+    for name, kind, bits, mean, most in LOSSY_GATES:
+        rows = generators.standard(spark, 102_400)[name].select("i", F.col("v").cast("double").alias("v"))
+        conf = Lossy(256, bits)
+        vectors = quantize.series_vectors(rows, [], "i", "v", 256)
+        both = quantize.decode_vectors(quantize.encode_vectors(vectors, "vector", conf), "packed", conf, "decoded")
+        each = both.select(F.explode(F.arrays_zip("vector", "decoded")).alias("x")).select(F.abs("x.vector").alias("size"), F.abs(F.col("x.vector") - F.col("x.decoded")).alias("off"))
+        error = F.col("off") / F.greatest("size", F.lit(1.0))
+        one = each.agg(F.count("*").cast("int").alias("n_values"), F.avg(error).alias("mean"), F.max(error).alias("most"))
+        one = one.select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(bits).alias("bits"), "n_values", (F.col("mean") < mean).alias("mean_ok"), (F.col("most") < most).alias("greatest_ok"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT (i % 3)::INTEGER AS axis, count(*) AS n, true AS close FROM range(5000) t(i) GROUP BY ALL")
+def generated_vibration_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32-bit series against the same formula in 64 bits."""
+    f = F.element_at(F.array(F.lit(0.1), F.lit(0.07), F.lit(0.13)), F.col("axis") + 1) * F.col("i")
+    exact = 2 * F.sin(f) + 0.5 * F.sin(3 * f + 0.7) + 0.1 * F.sin(7 * f + 1.3)
+    return generators.vibration(spark, 5000).groupBy("axis").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("v") - exact)) < 2e-3).alias("close"))
