@@ -1,10 +1,12 @@
 """Licences (native): ordered signature rules behind keyword gates, overlaps resolved.
 
 The text is ASCII-lower-cased and cut to words; signatures are regular
-expressions over the words joined by single blanks.  The rules are built from
-families (name, wordings, versions) and wordings of notices, about
-four hundred in all, in order of priority.  A family's rules run only where
-one of its wordings occurs.  Detections are then swept by place: one that lies inside
+expressions over the words joined by single blanks.  The rules, some 450 by
+hand (``license_rules``), belong to families: full texts and headers, SPDX
+identifiers, notices, addresses, names with and without versions.  A family's
+rules run only on texts that hold one of its keywords as a word; at each place
+the first of them in order of priority that matches is a detection.
+Detections of all families are then swept by place: one that lies inside
 another is suppressed, of two that overlap in part the one with the better
 (smaller) priority stays.  Base phrases and their labels always stay.
 
@@ -14,101 +16,44 @@ a base phrase.  Repeated rows give equal rows.  Other columns are ignored.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import PIECE, WORD, ascii_lower, find_spans, indices, let, text_of, words
+from tidewell.llm.common import PIECE, find_spans, indices, let, split_words, text_of
+from tidewell.llm.license_rules import Rule, families
 
 #: Fixed values of the base rules.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: family: (wordings, versions; "" is none given).
-FAMILIES = {
-    "apache": (("apache license", "apache software license", "asl"), ("2 0", "1 1", "1 0", "")),
-    "gpl": (("gnu general public license", "gnu gpl", "gpl", "general public license"), ("3 0", "2 0", "3", "2", "1", "")),
-    "lgpl": (("gnu lesser general public license", "gnu library general public license", "lgpl"), ("3 0", "2 1", "2 0", "3", "2", "")),
-    "agpl": (("gnu affero general public license", "affero general public license", "agpl"), ("3 0", "3", "1", "")),
-    "mit": (("mit license", "mit x11 license", "expat license"), ("",)),
-    "bsd": (("bsd 3 clause", "bsd 2 clause", "bsd 4 clause", "new bsd license", "simplified bsd license", "bsd license"), ("",)),
-    "mpl": (("mozilla public license", "mpl"), ("2 0", "1 1", "1 0", "")),
-    "epl": (("eclipse public license", "epl"), ("2 0", "1 0", "")),
-    "cddl": (("common development and distribution license", "cddl"), ("1 1", "1 0", "")),
-    "cc": (("cc by nc sa", "cc by nc nd", "cc by nc", "cc by sa", "cc by nd", "cc by", "creative commons attribution noncommercial sharealike", "creative commons attribution noncommercial", "creative commons attribution sharealike", "creative commons attribution"), ("4 0", "3 0", "2 5", "2 0", "1 0", "")),
-    "cc0": (("cc0", "cc zero", "creative commons zero"), ("1 0", "")),
-    "isc": (("isc license",), ("",)),
-    "zlib": (("zlib license", "zlib libpng license"), ("",)),
-    "boost": (("boost software license",), ("1 0", "")),
-    "artistic": (("artistic license", "perl artistic license"), ("2 0", "1 0", "")),
-    "python": (("python software foundation license", "psf license"), ("2", "")),
-    "eupl": (("european union public licence", "eupl"), ("1 2", "1 1", "1 0", "")),
-    "unlicense": (("the unlicense", "unlicense"), ("",)),
-    "wtfpl": (("wtfpl", "do what the fuck you want to public license"), ("2", "")),
-    "odbl": (("open database license", "odbl"), ("1 0", "")),
-    "ofl": (("sil open font license", "ofl"), ("1 1", "1 0", "")),
-    "ms": (("microsoft public license", "microsoft reciprocal license"), ("",)),
-    "public-domain": (("released into the public domain", "dedicated to the public domain", "in the public domain"), ("",)),
-    "reserved": (("all rights reserved", "some rights reserved"), ("",)),
-    "proprietary": (("proprietary and confidential", "confidential and proprietary"), ("",)),
-}
-#: Notices, best first: pattern around the licence's name, priority, confidence.
-NOTICES = (
-    (r"spdx license identifier {}(?: or later| only)?", 1, 1.0),
-    (r"(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the |an? )?{}", 2, 0.95),
-    (r"{}", 3, 0.7),
-)
 ONE = "struct<s:int,e:int,priority:int,label:string,confidence:double>"
-BLANK_SPAN = f"array<{ONE}>"
-
-
-def gate_of(phrases: list[str]) -> str:
-    """An expression that finds any of these phrases in a blanked text, grouped by first letter."""
-    heads: dict[str, list[str]] = {}
-    for p in sorted(set(phrases)):
-        heads.setdefault(p[0], []).append(p[1:])
-    return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in heads.items()) + ") "
-
-
-def phrases(family: str) -> list[str]:
-    """What every text that some rule of a family matches contains: its wordings, or its short name after an identifier."""
-    return [*FAMILIES[family][0], f"identifier {family}"]
-
-
-def rules() -> list[tuple[str, list[tuple[str, int, str, float]]]]:
-    """(gate, its rules in order of priority: pattern, priority, label, confidence), a row for each family."""
-    out = []
-    for family, (names, versions) in FAMILIES.items():
-        own = []
-        for notice, priority, confidence in NOTICES:
-            # The identifier form also takes the family's own short name.
-            for name in dict.fromkeys((*names, family) if priority == 1 else names):
-                for v in versions:
-                    body = name + (f"(?:(?: version| v)? | v){v}" if v else "")
-                    label = "-".join([family, *(v.split() if family not in ("cc",) else [])]) if v else family
-                    if family == "cc":
-                        short = name.replace("creative commons attribution", "cc by").replace("noncommercial", "nc").replace("sharealike", "sa")
-                        label = short.replace(" ", "-") + (f"-{v.replace(' ', '.')}" if v else "")
-                    elif v:
-                        label = f"{family}-{v.replace(' ', '.')}"
-                    own.append((r"(?<= )" + notice.format(body) + r"(?= )", 10 * priority + (0 if v else 5), label, round(confidence - (0.0 if v else 0.1), 2)))
-        out.append((gate_of(phrases(family)), sorted(own, key=lambda r: r[1])))
-    return out
+SPAN_LIST = f"array<{ONE}>"
+
+
+def pattern_of(rules: list[Rule]) -> str:
+    """One expression for a family, its rules tried in order at each place."""
+    return "(?<= )(?:" + "|".join(f"(?:{r[0]})" for r in rules) + ")(?= )"
 
 
-def ruleset() -> Column:
-    """The rules as an array literal: a constant of fixed size, folded once when the query is planned."""
-    rows = [{"gate": gate, "rules": [dict(zip(("p", "priority", "label", "confidence"), r, strict=True)) for r in own]} for gate, own in rules()]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<gate:string,rules:array<struct<p:string,priority:int,label:string,confidence:double>>>>")
+def words_of(keywords: list[str]) -> Column:
+    return F.array(*map(F.lit, keywords))
+
+
+def told(v: Column, rules: list[Rule]) -> Column:
+    """priority, label and confidence of the first rule that matches all of v."""
+    out = None
+    for pattern, priority, label, confidence in rules:
+        one = F.struct(F.lit(priority).alias("priority"), F.lit(label).alias("label"), F.lit(confidence).alias("confidence"))
+        out = F.when(v.rlike(f"^(?:{pattern})$"), one) if out is None else out.when(v.rlike(f"^(?:{pattern})$"), one)
+    return out
 
 
-def detections(blanked: Column) -> Column:
-    """All matches of all rules whose gate opens: (s, e, priority, label, confidence) in code points of the blanked text."""
+def detections(blanked: Column, held: Column) -> Column:
+    """All detections: (s, e, priority, label, confidence) in code points of the blanked text; held: the keywords in it."""
 
-    def run(rule: Column) -> Column:
-        return F.transform(find_spans(blanked, rule["p"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+    def own(keywords: list[str], rules: list[Rule]) -> Column:
+        found = F.transform(find_spans(blanked, pattern_of(rules)), lambda x: let(told(x["v"], rules), lambda r: F.struct(x["s"].alias("s"), x["e"].alias("e"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"))))
+        return F.when(F.arrays_overlap(held, words_of(keywords)), found).otherwise(F.array().cast(SPAN_LIST))
 
-    opened = F.filter(ruleset(), lambda f: F.rlike(blanked, f["gate"]))
-    return F.flatten(F.transform(opened, lambda f: F.flatten(F.transform(F.filter(f["rules"], lambda r: F.rlike(blanked, r["p"])), run))))
+    return F.concat(*(own(keywords, rules) for _, keywords, rules in families()))
 
 
 def resolved(found: Column) -> Column:
@@ -158,15 +103,16 @@ def base_places(w: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base: (at in words, label), found: the resolved detections in code points of the blanked text."""
-    rows = docs.select(F.col("doc_id"), words(ascii_lower(text_of()), WORD).alias("w"))
-    gate = gate_of([p for family in FAMILIES for p in phrases(family)])
-    rows = rows.select("doc_id", "w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"))
-    rows = rows.select("doc_id", "w", "t", F.col("t").rlike(gate).alias("open"))
+    every = sorted({k for _, keywords, _ in families() for k in keywords})
+    rows = docs.select(F.col("doc_id"), split_words(text_of(), True, True).alias("w"))
+    rows = rows.select("doc_id", "w", F.array_intersect("w", words_of(every)).alias("held"))
+    # Only texts that hold a keyword are joined again; every base phrase holds one, too.
+    rows = rows.select("doc_id", "w", "held", F.when(F.size("held") > 0, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).alias("t"))
     return rows.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.when(F.col("t").rlike("|".join(f" {p} " for p in BASE)), base_places(F.col("w"))).otherwise(F.array().cast("array<struct<at:int,label:string>>")).alias("base"),
-        F.when(F.col("open"), let(F.col("t"), lambda t: resolved(detections(t)))).otherwise(F.array().cast(BLANK_SPAN)).alias("found"),
+        F.when(F.col("t").isNotNull(), let(F.struct("t", "held"), lambda x: resolved(detections(x["t"], x["held"])))).otherwise(F.array().cast(SPAN_LIST)).alias("found"),
     )
 
 
