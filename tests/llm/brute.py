@@ -100,10 +100,9 @@ def fingerprint(t, k=3):
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def components(rows, radius=2):
-    """rows: (doc_id, fingerprint); the least id of each row's component."""
-    left = list(range(len(rows)))
-    root = [None] * len(rows)
+def groups(rows, radius=2):
+    """rows: (doc_id, fingerprint); the places of each component's rows."""
+    left, out = list(range(len(rows))), []
     while left:
         group, todo = [], [left.pop(0)]
         while todo:
@@ -112,6 +111,14 @@ def components(rows, radius=2):
             near = [j for j in left if (rows[i][1] ^ rows[j][1]).bit_count() <= radius]
             todo += near
             left = [j for j in left if j not in near]
+        out.append(group)
+    return out
+
+
+def components(rows, radius=2):
+    """rows: (doc_id, fingerprint); the least id of each row's component."""
+    root = [None] * len(rows)
+    for group in groups(rows, radius):
         least = min((rows[i][0] for i in group if rows[i][0] is not None), default=None)
         for i in group:
             root[i] = least
@@ -134,6 +141,30 @@ def repeats(rows, least=200):
     return out
 
 
+def maximal_repeats(rows, least=200):
+    """rows: (doc_id, text); {(length, occurrences (doc_id, start))} of the strings of at least that many bytes that occur twice and can't be made longer with all of their occurrences."""
+    coded = [(d, t.encode()) for d, t in rows]
+    suffixes = sorted((b[i:], k, i) for k, (_, b) in enumerate(coded) for i in range(len(b)))
+    lcp = [0] * (len(suffixes) + 1)
+    for j in range(1, len(suffixes)):
+        a, b = suffixes[j - 1][0], suffixes[j][0]
+        lcp[j] = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+    out = set()
+    for j in range(1, len(suffixes)):
+        v, lo, hi = lcp[j], j - 1, j
+        if v < least:
+            continue
+        while lcp[lo] >= v and lo > 0:
+            lo -= 1
+        while lcp[hi + 1] >= v:
+            hi += 1
+        places = [(k, i) for _, k, i in suffixes[lo : hi + 1]]
+        before = {coded[k][1][i - 1] if i else -1 - n for n, (k, i) in enumerate(places)}
+        if len(before) > 1:
+            out.add((v, frozenset((coded[k][0], i) for k, i in places)))
+    return out
+
+
 def shingles(t, k=5):
     w = SPACE_WORD.findall(low(t or ""))
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import decontam, license_scan, mixing, pii, quality_rank, quality_rules, repeats, secret_scan, simhash, simhash_similar, token_counts
+from tidewell.llm import decontam, license_scan, mixing, pii, quality_rank, quality_rules, queries, repeats, secret_scan, simhash, simhash_similar, token_counts
 from tidewell.llm.components import connect
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, h string, score double, kind string, spans string, w string, items string, th string, live string"
@@ -122,28 +122,8 @@ def test_licences(docs):
     out = license_scan.report(docs)
     assert tally(out, "n_words", "n_base", "first_word", "last_word", "base_labels") == brutally(brute.licences)
     found = {r["doc_id"]: r for r in out.collect() if r["doc_id"] in (18, 19)}
-    assert {"apache-2.0", "cc-by", "cc-by-4.0", "gpl", "gpl-3", "reserved"} <= set(found[18]["labels"].split(","))
+    assert {"apache-2.0", "cc-by", "cc-by-4.0", "gpl", "gpl-3.0", "reserved"} <= set(found[18]["labels"].split(","))
     assert "cc-by-nc-sa-4.0" in found[19]["labels"] and "mit" in found[19]["labels"] and found[19]["score"] == 0.9
-    assert sum(len(own) for _, own in license_scan.rules()) > 200
-
-
-def test_every_wording_opens_its_gate(spark):
-    import re
-
-    outer = license_scan.gate_of([p for f in license_scan.FAMILIES for p in license_scan.phrases(f)])
-    gates = dict(zip(license_scan.FAMILIES, (g for g, _ in license_scan.rules()), strict=True))
-    texts = []
-    for family, (names, _) in license_scan.FAMILIES.items():
-        for text in (*names, f"spdx license identifier {family}"):
-            assert re.search(gates[family], f" {text} ") and re.search(outer, f" {text} ")
-            texts.append((len(texts), f"see the {text} here", family))
-    d = spark.createDataFrame(texts, "doc_id int, text string, family string")
-    labels = {x["doc_id"]: {y["label"] for y in x["found"]} for x in license_scan.scan(d).collect()}
-    # Words have no hyphens, so this one identifier has no form in a blanked text.
-    missed = [t for i, t, f in texts if not any(y.startswith(f) for y in labels[i]) and "identifier public-domain" not in t]
-    assert not missed
-    library = next(i for i, t, _ in texts if "gnu library" in t)
-    assert labels[library] == {"lgpl"}
 
 
 def test_quality_rules(docs, labels):
@@ -194,7 +174,7 @@ def test_simhash(docs, bucket):
     out = simhash.assign(docs, bucket=bucket).withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
     assert tally(out, "fingerprint", "component_id") == want
     kept = simhash.dedup(docs, bucket=bucket)
-    assert kept.columns == docs.columns and kept.count() == len({c for *_, c in want})
+    assert kept.columns == docs.columns and kept.count() == len(brute.groups(prints))
 
 
 @pytest.mark.parametrize("radius", [0, 1, 2])
@@ -235,21 +215,12 @@ def test_similar_copies(spark, docs):
     assert simhash_similar.dedup(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 64])
-def test_crowded_variants_of_one_text(spark, block):
-    """Variants like the text they were made from and not like each other: no pair that meets is left out."""
-    r = random.Random(5)
-    rows = []
-    for g in range(3):
-        words = [f"w{r.randrange(9000)}" for _ in range(300)]
-        rows.append((1000 * g, " ".join(words)))
-        for c in range(1, 300):
-            at = r.randrange(0, 274)
-            rows.append((1000 * g + c, " ".join(words[:at] + [f"v{r.randrange(10**6)}" for _ in range(24)] + words[at + 24 :])))
-    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    prints = {x["doc_id"]: x for x in simhash_similar.fingerprints(d).collect()}
-    whole = {i: sum((x[f"f{k}"] & (2**64 - 1)) << 64 * k for k in range(5)) for i, x in prints.items()}
-    meet = lambda y: y.bit_count() <= 64 and any((y >> 30 * i & (1 << 30) - 1).bit_count() <= 2 for i in range(10))
+def wide_print(x):
+    return sum((x[f] & (2**64 - 1)) << 64 * k for k, f in enumerate(simhash_similar.NAMES))
+
+
+def meeting(rows, prints, chosen, near):
+    """Components by plain union of all similar pairs that meet in a probed part and lie within near bits."""
     root = {i: i for i, _ in rows}
 
     def top(i):
@@ -257,22 +228,95 @@ def test_crowded_variants_of_one_text(spark, block):
             i = root[i]
         return i
 
+    masks = [(sum(1 << b for b in part), t) for part, t in chosen]
     for i, j in brute.similar(rows):
         a, b = rows[i][0], rows[j][0]
-        if meet(whole[a] ^ whole[b]):
+        y = prints[a] ^ prints[b]
+        if y.bit_count() <= near and any((y & m).bit_count() <= t for m, t in masks):
             root[max(top(a), top(b))] = min(top(a), top(b))
-    cols = [f"f{k}" for k in range(5)]
-    distinct = spark.createDataFrame([(x["node"], *(x[c] for c in cols), i, x["th"]) for i, x in prints.items()], "node bigint, " + ", ".join(f"{c} bigint" for c in cols) + ", doc_id bigint, th bigint")
-    node = {x["node"]: i for i, x in prints.items()}
+    out = collections.defaultdict(set)
+    for i, _ in rows:
+        out[top(i)].add(i)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("block, threshold", [(64, None), (2048, 2)])
+def test_crowded_variants_of_one_text(spark, block, threshold):
+    """Variants like the text they were made from and not like each other: no pair that meets is left out."""
+    r = random.Random(5)
+    rows = []
+    for g in range(2):
+        words = [f"w{r.randrange(9000)}" for _ in range(300)]
+        rows.append((1000 * g, " ".join(words)))
+        for c in range(1, 240):
+            at = r.randrange(0, 274)
+            rows.append((1000 * g + c, " ".join(words[:at] + [f"v{r.randrange(10**6)}" for _ in range(24)] + words[at + 24 :])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = {x["doc_id"]: x for x in simhash_similar.fingerprints(d).collect()}
+    cols = simhash_similar.NAMES
+    distinct = spark.createDataFrame([(x["node"], *(x[c] for c in cols), i, x["th"]) for i, x in found.items()], "node bigint, " + ", ".join(f"{c} bigint" for c in cols) + ", doc_id bigint, th bigint")
+    chosen = simhash_similar.plan(distinct) if threshold is None else [(list(range(30 * i, 30 * i + 30)), threshold) for i in range(8)]
+    want = meeting(rows, {i: wide_print(x) for i, x in found.items()}, chosen, simhash_similar.reach(0.8))
+    node = {x["node"]: i for i, x in found.items()}
     got = collections.defaultdict(set)
-    roots = {x["node"]: x["root"] for x in connect(simhash_similar.links(d, distinct, block=block)).collect()}
+    roots = {x["node"]: x["root"] for x in connect(simhash_similar.links(d, distinct, block=block, chosen=chosen)).collect()}
     for n, i in node.items():
         got[roots.get(n, n)].add(i)
-    want = collections.defaultdict(set)
-    for i, _ in rows:
-        want[top(i)].add(i)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-    assert max(map(len, want.values())) > 200
+    assert sorted(map(sorted, got.values())) == want
+    assert max(map(len, want)) > 200
+
+
+def test_recall_of_similar_pairs(spark):
+    """Pairs of texts alike in 0.8 or more, alone and in families of edited copies: nine in ten are linked in each band."""
+    r = random.Random(4)
+    rows = []
+    for g in range(300):
+        words = [f"w{r.randrange(9000)}" for _ in range(200)]
+        own = list(words)
+        for _ in range(r.randint(1, 5)):
+            own[r.randrange(200)] = f"v{r.randrange(10**6)}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(own))]
+    base = [f"w{r.randrange(9000)}" for _ in range(400)]
+    for c in range(400):
+        own = list(base)
+        for _ in range(r.randint(3, 30)):
+            own[r.randrange(400)] = f"v{r.randrange(10**6)}"
+        rows.append((1000 + c, " ".join(own)))
+    got = {x["doc_id"]: x["component_id"] for x in simhash_similar.assign(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for family in (False, True):
+        all_pairs, hit = collections.Counter(), collections.Counter()
+        for (i, j), x in brute.similar([y for y in rows if (y[0] >= 1000) == family]).items():
+            a, b = [y for y in rows if (y[0] >= 1000) == family][i][0], [y for y in rows if (y[0] >= 1000) == family][j][0]
+            band = int(x * 20)
+            all_pairs[band] += 1
+            hit[band] += got[a] == got[b]
+        assert all_pairs and all(hit[b] >= 0.9 * n for b, n in all_pairs.items()), (family, all_pairs, hit)
+
+
+def test_allocation_is_of_least_cost():
+    import itertools
+
+    r = random.Random(1)
+    for _ in range(40):
+        options = [[(0, r.randint(1, 30), r.randint(1, 9)), (2, r.randint(20, 90), r.randint(5, 40))] for _ in range(5)]
+        need = r.randint(1, 60)
+        cost = lambda ts: (sum(g for o, t in zip(options, ts, strict=True) for k, _, g in o if k == t), sum(c for o, t in zip(options, ts, strict=True) for k, c, _ in o if k == t))  # noqa: B023, E731
+        able = [cost(ts)[1] for ts in itertools.product((-1, 0, 2), repeat=5) if cost(ts)[0] >= need]
+        if able:
+            gain, paid = cost(simhash_similar.allocate(options, need))
+            assert gain >= need and paid == min(able)
+
+
+def test_wide_fingerprints_count_majorities():
+    r = np.random.default_rng(2)
+    sizes = np.array([0, 1, 2, 3, 255, 256, 511, 0, 700, 5])
+    values = r.integers(0, 2**63, sizes.sum(), dtype=np.uint64)
+    got, at = simhash_similar.wide(values, sizes), 0
+    for i, n in enumerate(sizes):
+        for k in range(simhash_similar.WORDS):
+            bits = np.unpackbits(simhash_similar._mixed(values[at : at + n], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=int)
+            assert got[i, k] == sum(1 << b for b in range(64) if 2 * bits[b] > n)
+        at += n
 
 
 @pytest.mark.parametrize("module", [simhash, simhash_similar])
@@ -304,12 +348,30 @@ def test_repeats(docs, group):
     assert tally(repeats.report(docs, max_group=group), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("group", [100_000, 1])
+def test_repeat_groups_are_the_maximal_repeats(spark, group):
+    r = random.Random(8)
+    junk = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))
+    long, mid, short = junk(1500), junk(420), junk(230)
+    texts = [junk(80) + long + junk(90), long, junk(30) + long[:800] + junk(40), mid + junk(50) + mid, junk(70) + mid, short, junk(20) + short + junk(30), long[900:] + junk(60), junk(500), "", junk(10) + short + junk(300) + mid[:260]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = collections.defaultdict(list)
+    for x in repeats.repeat_groups(d, max_group=group).collect():
+        got[x["repeat"], x["length"]].append((x["doc_id"], x["start"]))
+    want = brute.maximal_repeats(list(enumerate(texts)))
+    assert len(want) >= 5 and max(v for v, _ in want) > 1500
+    assert {(n, frozenset(v)) for (_, n), v in got.items()} == want
+    assert len(got) == len(want) and all(len(v) == len(set(v)) for v in got.values())
+
+
 def test_repeat_groups_hold_all_occurrences(docs):
     texts = collections.defaultdict(list)
-    for r in repeats.repeat_groups(docs).where("doc_id is not null and doc_id <> 20").collect():
+    few = docs.where("length(text) < 2900 or text is null")
+    for r in repeats.repeat_groups(few).where("doc_id is not null and doc_id <> 20").collect():
         text = next(t for i, t, *_ in ROWS if i == r["doc_id"]).encode()
         texts[r["repeat"]].append(text[r["start"] : r["start"] + r["length"]])
     assert texts and all(len(set(v)) == 1 and len(v[0]) >= 200 for v in texts.values())
+    assert repeats.repeat_groups(docs.limit(0)).count() == 0
 
 
 def test_maximal_repeats_by_the_stack_scan():
@@ -327,6 +389,49 @@ def test_token_counts(docs):
     assert tally(token_counts.count(docs, P.path("byte_bpe_50k.json")), "n_bytes", "n_tokens", "over_limit") == want
 
 
+def test_token_counts_of_other_ids_and_orders(spark):
+    P = pytest.importorskip("public_tokenizers")
+    r = random.Random(6)
+    rows = [(f"a{i % 150}", " ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(40)))) for i in range(200)] + [(None, "x y"), ("b", None)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    want = collections.Counter(tuple(x) for x in token_counts.count(d.coalesce(1), P.path("byte_bpe_50k.json")).collect())
+    assert sum(want.values()) == len(rows) and {x[0] for x in want} == {x[0] for x in rows}
+    for key in ("doc_id", "text"):
+        assert collections.Counter(tuple(x) for x in token_counts.count(d.repartition(5, key), P.path("byte_bpe_50k.json")).collect()) == want
+    # The order in which a partition's rows arrive makes no difference to its stretches.
+    import json
+
+    own = json.load(open(P.path("byte_bpe_50k.json")))
+    with pytest.raises(ValueError):
+        token_counts.special_strings({**own, "added_tokens": [{"content": "<x>", "lstrip": True}]})
+    with pytest.raises(ValueError):
+        token_counts.special_strings({**own, "normalizer": {"type": "NFC"}})
+
+
+def test_ranker_minimises_the_pairwise_loss():
+    r = np.random.default_rng(5)
+    good, bad = r.normal(0.7, 1, (60, 3)), r.normal(-0.7, 1, (30, 3))
+    ranker = quality_rank.learn(good, bad)
+    z = lambda x: (x - ranker.mean) / ranker.scale
+    i, j = quality_rank.pairs(60, 30, quality_rank.MAX_PAIRS)
+    assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == 1800
+    d, w = z(good)[i] - z(bad)[j], np.zeros(3)
+    loss = lambda v: np.log1p(np.exp(-d @ v)).mean() + quality_rank.RIDGE / 2 * (v @ v)
+    for _ in range(6000):
+        w += 0.5 * ((d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) - quality_rank.RIDGE * w)
+    assert np.allclose(ranker.w, w, atol=1e-3) and loss(np.array(ranker.w)) <= loss(w) + 1e-9
+
+
+def test_the_cut_does_not_follow_the_bound_on_labelled_rows(spark):
+    r = random.Random(2)
+    prose = lambda junk: " ".join(r.choice(["the", "of", "and", "rain", "road", "stone"]) + ("!!" if r.random() < junk else "") for _ in range(60))
+    rows = [(i, prose(r.uniform(0, 0.3) if i % 9 else r.uniform(0.2, 0.6))) for i in range(2700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, 0).otherwise(1).alias("quality"))
+    took = [quality_rank.score(docs, labels, max_labelled=n).agg(F.avg("predicted")).first()[0] for n in (10_000, 190)]
+    assert abs(took[0] - took[1]) < 0.06 and 0.8 < took[0] < 0.95
+
+
 def test_ranker(docs, labels):
     out = quality_rank.score(docs, labels).collect()
     assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
@@ -352,6 +457,34 @@ def test_mixing(spark, sf):
     assert all(r["rate"] >= 0 for r in out) and len(out) == docs.count()
 
 
+@pytest.mark.parametrize("targets", [{"clean": 0.5, "toxic": 0.25, "junk": 0.25}, {"clean": 0.0, "toxic": 1.0, "junk": 0.0}, {"clean": 1.0}])
+def test_mixing_finds_the_minimum(spark, sf, targets):
+    """Checked by the conditions for the minimum on the documents themselves: no gradient along a positive rate, none that would lift a rate of 0."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = mixing.rates(docs, labels, targets).collect()
+    n, rate = np.array([r["n_tokens"] for r in out], float), np.array([r["rate"] for r in out])
+    p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in out])
+    assert np.allclose(p.sum(axis=1), 1) and (rate >= 0).all()
+    goal = np.array([targets.get(d, 0.0) for d in mixing.DOMAINS])
+    share, expected = (n[:, None] * p).sum(axis=0) / n.sum(), ((n * rate)[:, None] * p).sum(axis=0) / n.sum()
+    slope = p @ ((expected - goal) / share)
+    assert (np.abs(slope[(rate > 1e-3) & (n > 0)]) < 2e-3).all() and (slope[n > 0] > -2e-3).all()
+    assert abs(np.abs(expected - goal).max() - out[0]["gap"]) < 1e-6
+
+
+def test_posteriors_add_up():
+    p = np.random.default_rng(0).dirichlet([0.3, 0.2, 0.4], 5000)
+    parts = mixing.whole_parts(p, 64)
+    assert (parts.sum(axis=1) == 64).all() and (parts >= 0).all() and np.abs(parts / 64 - p).max() < 1 / 64
+
+
+def test_mixing_without_tokens_of_a_domain(spark):
+    docs = spark.createDataFrame([(i, "rain road stone") for i in range(20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id bigint, quality int, toxic int")
+    out = mixing.rates(docs, labels, {"clean": 0.5, "junk": 0.5}).collect()
+    assert all(r["rate"] >= 0 for r in out) and out[0]["gap"] > 0.1
+
+
 def test_mixing_of_awkward_rows(docs, labels):
     out = mixing.mix(docs, labels)
     assert out.columns == [*docs.columns, "rate", "copies"] and out.count() == len(ROWS)
@@ -377,31 +510,49 @@ def test_pipeline(spark, sf):
     kept = {r["doc_id"] for r in quality_rules.score(docs, labels).where("kept").collect()}
     assert all(not brute.rules(rows[i]["text"])[-1] for i in kept)
     ids = sorted(kept)
-    near = {(ids[i], ids[j]): x for (i, j), x in brute.similar([(i, rows[i]["text"]) for i in ids]).items()}
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in brute.similar([(i, rows[i]["text"]) for i in ids]):
+        a, b = top(ids[i]), top(ids[j])
+        root[max(a, b)] = min(a, b)
     wins = brute.windows([(r["item_id"], r["text"]) for r in bench.collect()])
     hit = {i: brute.leaks(rows[i]["text"], wins) for i in ids}
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
-    left = {i for i in ids if not hit[i][-1]}
-    linked = {i for pair in near for i in pair}
-    assert set(out) <= left and left - linked <= set(out)
-    assert not [p for p, x in near.items() if x >= 0.9 and set(p) <= set(out)]
+    assert set(out) == {i for i in ids if root[i] == i and not hit[i][-1]}
     for i in sorted(out):
         words = len(brute.PLAIN_WORD.findall(brute.low(rows[i]["text"])))
         if brute.secrets(rows[i]["text"])[:3] == (0, 0, 0) and "PRIVATE KEY" not in rows[i]["text"]:
             assert len(brute.PLAIN_WORD.findall(brute.low(out[i]["text"]))) == words - hit[i][1]
             if not hit[i][1]:
                 assert out[i]["text"] == rows[i]["text"]
+    total, goal = sum(len((r["text"] or "").split()) for r in out.values()), mixing.TARGETS
+    found = mixing.rates(spark.createDataFrame([(i, r["text"]) for i, r in out.items()], "doc_id bigint, text string"), labels).collect()
+    assert all(abs(out[r["doc_id"]]["rate"] - r["rate"]) < 1e-4 for r in found)
+    assert all(abs(sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in found) / total - goal[d]) < 1e-3 for d in goal)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secrets", "mixing"]
 
 
-def test_decontamination_sql(spark, sf):
+def test_pipeline_of_awkward_and_empty_tables(spark, docs, labels, bench, tmp_path):
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        folder = str(tmp_path / name)
+        for table, df in (("documents", rows), ("labels", labels), ("benchmark", bench)):
+            df.write.parquet(f"{folder}/{table}.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == [*docs.columns, "rate", "copies"]
+        assert out.count() <= rows.count() and (name == "some") == (out.count() > 0)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, name):
     import os
     import sys
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import oracle
 
-    from tidewell.llm import queries
-
-    name = "op8_decontamination"
     assert oracle.rows_of_spark(queries.queries()[name](spark, sf)) == oracle.rows_of_sql(queries.oracle_sql()[name], sf)

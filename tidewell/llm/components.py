@@ -21,7 +21,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connect(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges (a, b); root is the smallest node of its component."""
+    """node, root for every node of the edges (a, b), of any type that has an order; root is the smallest node of its component."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _mark(edges)
     for _ in range(MAX_ROUNDS):
@@ -43,6 +43,22 @@ def connect(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def named(rows: DataFrame, least: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (with a node each) with component_id and root; least: each node's smallest doc_id; links: pairs (a, b) of nodes.
+
+    A node is named by its smallest id and then by itself, so a component's
+    smallest name holds the smallest id of all, and no table is ever dealt by
+    component.
+    """
+    name = least.select("node", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node").alias("own")).alias("name"))
+    side = lambda c: name.select(F.col("node").alias(c), F.col("name").alias(f"{c}_name"))
+    edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+    roots = connect(edges).select(F.col("node.own").alias("node"), "root")
+    # Cut, so that the last join's sides are plain exchanges and a node that very many rows share is split among tasks.
+    both = cut(name.join(roots, "node", "left").select("node", F.coalesce("root", "name").alias("root")))
+    return rows.join(both, "node").select(*(c for c in rows.columns if c != "node"), F.col("root.id").alias("component_id"), F.col("root.own").alias("root"))
+
+
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that stand for their components; found: doc_id, th, root.  Ids may be null or repeated, roots tell components apart."""
     cols = docs.columns

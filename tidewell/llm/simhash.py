@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import NOT_SPACE, ascii_lower, cut, indices, keyed, let, words
-from tidewell.llm.components import connect, keep_one
+from tidewell.llm.components import keep_one, named
 
 SHINGLE, RADIUS, BUCKET, PARTS = 3, 2, 8, (2, 3, 4)
 #: Hashes whose bits are counted at a time.
@@ -183,13 +183,10 @@ def _tagged(k: int):
 
 
 def assign(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, parts: tuple[int, ...] = PARTS) -> DataFrame:
-    """doc_id, th, fp, component_id and root (the component's least node) for every row."""
+    """doc_id, th, fp, component_id and root (the component's name) for every row."""
     rows = cut(fingerprints(docs, shingle))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connect(links(distinct, radius, bucket, parts))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(component, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "th", "fp", "component_id", "root")
+    return named(rows.withColumn("node", F.col("fp")), distinct.select(F.col("fp").alias("node"), "least"), links(distinct, radius, bucket, parts))
 
 
 def report(docs: DataFrame) -> DataFrame:
