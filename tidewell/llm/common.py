@@ -7,6 +7,9 @@ row still gives one output row.  Null texts count as empty.
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,6 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPANS = "array<struct<s:int,e:int,v:string,l:string,r:string>>"
 #: Code points kept from the sides of a match; elements that are appended to at a time.
 NEAR, PIECE = 40, 256
+#: Rows and array elements of a table that may be broadcast (some 16 MB).
+MAX_LISTED = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +71,12 @@ def attach(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(right, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")), "left").drop("_doc_id", "_th")
 
 
+def bounded(found: DataFrame, listed: str, most: int = MAX_LISTED) -> DataFrame:
+    """found, a table that is already cut, as a broadcast if its rows and the elements of the array named listed are counted and are at most most; else as it is."""
+    r = found.agg(F.count("*"), F.sum(F.size(listed))).first()
+    return F.broadcast(found) if r[0] + (r[1] or 0) <= most else found
+
+
 def indices(count: Column, start: int = 0) -> Column:
     """start .. count - 1, empty if there are none."""
     return F.when(count > start, F.sequence(F.lit(start), count - 1)).otherwise(F.array().cast("array<int>"))
@@ -120,19 +131,42 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a cluster must name one, a single machine may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    made = tempfile.mkdtemp(prefix="tidewell-")
+    atexit.register(shutil.rmtree, made, True)
+    return made
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the cluster's shared checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the cluster's shared checkpoint folder, read again."""
+    """df as a Parquet table in the cluster's shared checkpoint folder, read again.  The table goes when the driver ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewell-checkpoint-")
-    path = f"{folder}/tidewell-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewell-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _forget_at_exit(spark, path)
     return spark.read.parquet(path)
+
+
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Has Spark's file system remove the folder when the driver's JVM ends in good order."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

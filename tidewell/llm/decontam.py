@@ -9,8 +9,8 @@ joined, and each hit is extended: the whole window around it is compared
 word by word, so hash collisions do no harm.  Shorter items are fingerprinted
 whole, and documents by all grams of those lengths.
 
-The distinct windows of the benchmark are broadcast only if they are counted
-and found to be at most ``max_broadcast``; otherwise both sides are shuffled
+The distinct windows of the benchmark are broadcast only if they and the items
+listed at them are counted and found to be at most ``max_broadcast``; otherwise both sides are shuffled
 by fingerprint, each document fingerprint with the few words around it.
 
 Null and empty texts have no words.  Repeated rows give equal rows; repeated
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD, ascii_lower, attach, indices, keyed, let, sha256, split_words, text_of, words
+from tidewell.llm.common import WORD, ascii_lower, attach, bounded, cut, indices, keyed, let, sha256, split_words, text_of, words
 
 WINDOW, GRAM, MAX_BROADCAST = 8, 5, 500_000
 MIN_ITEMS = 2
@@ -52,8 +52,8 @@ def item_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
     """h, off, m, win, items: each distinct window once, with the place of its smallest gram and the ids of its items."""
     w = words(ascii_lower(text_of()), WORD)
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), w.alias("w")).where((F.size("w") > 0) & F.col("item").isNotNull())
-    cut = F.when(F.size("w") >= window, F.transform(indices(F.size("w"), window - 1), lambda i: F.slice("w", i - (window - 2), window))).otherwise(F.array("w"))
-    wins = rows.select("item", F.explode(F.array_distinct(cut)).alias("win")).groupBy("win").agg(F.collect_set("item").alias("items"))
+    parts = F.when(F.size("w") >= window, F.transform(indices(F.size("w"), window - 1), lambda i: F.slice("w", i - (window - 2), window))).otherwise(F.array("w"))
+    wins = rows.select("item", F.explode(F.array_distinct(parts)).alias("win")).groupBy("win").agg(F.collect_set("item").alias("items"))
     full = let(grams(F.col("win"), gram), lambda h: let(F.array_min(h), lambda x: F.struct(x.alias("h"), (F.array_position(h, x) - 1).cast("int").alias("off"))))
     short = F.struct(F.coalesce(*(F.when(F.size("win") == k, F.get(grams(F.col("win"), k), 0)) for k in range(1, window))).alias("h"), F.lit(0).alias("off")) if window > 1 else full
     return wins.select(F.when(F.size("win") == window, full).otherwise(short).alias("f"), F.size("win").alias("m"), "win", "items").select("f.*", "m", "win", "items")
@@ -62,15 +62,16 @@ def item_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
 def _met(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, max_broadcast: int, every: bool) -> DataFrame:
     """doc_id, th, n_words, span, items: a row for each window found at a kept fingerprint; every: and one with null span for each row of docs."""
     fp = item_windows(benchmark, window, gram)
-    stat = fp.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("m") < window, F.col("m"))).alias("short")).first()
+    stat = fp.agg((F.count("*") + F.coalesce(F.sum(F.size("items")), F.lit(0))).alias("n"), F.collect_set(F.when(F.col("m") < window, F.col("m"))).alias("short")).first()
     small, short, width = stat["n"] <= max_broadcast, sorted(stat["short"]), window - gram + 1
     rows = keyed(docs).select("doc_id", "th", split_words(F.col("text"), True, True).alias("w"))
     rows = rows.select("doc_id", "th", "w", F.size("w").alias("n_words"), grams(F.col("w"), gram).alias("g"), *(grams(F.col("w"), k).alias(f"g{k}") for k in short))
     # Before each array of hashes stands the row's own entry, which no fingerprint equals.
-    own = F.array(F.lit(None).cast("bigint")) if every else F.array().cast("array<bigint>")
+    ahead = every and small
+    own = F.array(F.lit(None).cast("bigint")) if ahead else F.array().cast("array<bigint>")
     # One generator over all hashes, so that the arrays are never copied for each of them.
     each = rows.select("doc_id", "th", "w", "n_words", "g", F.posexplode(F.concat(own, "g", *(f"g{k}" for k in short))).alias("q", "h"))
-    whole, at = F.lit(False), F.col("q") - int(every)
+    whole, at = F.lit(False), F.col("q") - int(ahead)
     p = at
     end = F.greatest(F.col("n_words") - (gram - 1), F.lit(0))
     for k in short:
@@ -85,12 +86,16 @@ def _met(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, max_broa
         hit = kept & (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("m")) == F.col("win"))
     else:
         room = window - 1
-        near = each.where(F.col("h").isNull() | kept).select("doc_id", "th", "n_words", "p", "h", F.slice("w", F.greatest(F.col("p") - room, F.lit(0)) + 1, 2 * window).alias("near"))
-        met = near.join(fp, "h", "left" if every else "inner")
+        near = each.where(kept).select("doc_id", "th", "n_words", "p", "h", F.slice("w", F.greatest(F.col("p") - room, F.lit(0)) + 1, 2 * window).alias("near"))
+        met = near.join(fp, "h")
         at = F.least(F.col("p"), F.lit(room)) - F.col("off")
         hit = (at >= 0) & (F.slice("near", F.greatest(at, F.lit(0)) + 1, F.col("m")) == F.col("win"))
     met = met.where(F.col("h").isNull() | hit)
-    return met.select("doc_id", "th", "n_words", F.when(F.col("m").isNotNull(), F.struct(start.alias("s"), F.col("m").alias("m"))).alias("span"), "items")
+    out = met.select("doc_id", "th", "n_words", F.when(F.col("m").isNotNull(), F.struct(start.alias("s"), F.col("m").alias("m"))).alias("span"), "items")
+    if every and not small:
+        # Beside the join, not through it: rows without a key would all be dealt to one task.
+        out = out.unionByName(rows.select("doc_id", "th", "n_words", F.lit(None).cast(out.schema["span"].dataType).alias("span"), F.lit(None).cast(out.schema["items"].dataType).alias("items")))
+    return out
 
 
 def _gathered(met: DataFrame) -> DataFrame:
@@ -132,7 +137,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, win
     cols = docs.columns
     row = docs.select(F.struct(*(docs[c] for c in cols)).alias("_row"), docs["doc_id"].alias("doc_id"), F.xxhash64(text_of(docs["text"])).alias("th"))
     hit = hits(docs, benchmark, window, gram, max_broadcast)
-    both = attach(row, hit).where(F.coalesce(F.size("items") < min_items, F.lit(True)))
+    # Cut once: its rows are counted, and few enough are sent to the texts instead of the texts to them.
+    both = attach(row, bounded(cut(hit.select("doc_id", "th", "spans", F.size("items").alias("n_items"))), "spans")).where(F.coalesce(F.col("n_items") < min_items, F.lit(True)))
     text = text_of(F.col("_row.text"))
     # Separators between words; each word's own letters are taken by the case-blind form of the pattern.
     any_case = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

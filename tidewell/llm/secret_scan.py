@@ -10,7 +10,8 @@ owner's value is never an example, however often it occurs.  Base spans stay wha
 adds the kinds ``bearer``, ``pem`` and ``jwt``.  A ``pem`` is the whole block of
 a private key, and its secret part the body.
 
-Only hashes, ids and owners are shuffled, and each is combined on the map side
+The texts are scanned once; candidates' places and hashes are written.  Only
+hashes, ids and owners are shuffled, and each is combined on the map side
 to one row a task; the join back to the documents that hold candidates is an
 ordinary equi-join, which adaptive execution splits where one value is hot.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPANS, attach, cut, find_spans, keyed, let, sha256, text_of
+from tidewell.llm.common import SPANS, attach, bounded, cut, find_spans, keyed, let, sha256, text_of, written
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -71,22 +72,26 @@ def candidates(text: Column) -> Column:
     return F.sort_array(F.concat(*(candidates_of(text, rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def ownership(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """h, owners, repos: for each candidate value, its distinct owners and distinct texts over the whole corpus."""
-    base = docs.select(F.col(owner).alias("owner"), text_of().alias("text"))
-    rows = base.select("owner", F.xxhash64("text").alias("th"), F.explode(F.transform(candidates(F.col("text")), lambda x: x["h"])).alias("h"))
+def proposed(docs: DataFrame, owner: str = "source") -> DataFrame:
+    """doc_id, th, owner, found of every row: the texts are read once, and only hashes and places are written."""
+    return written(keyed(docs.select("doc_id", "text", F.col(owner).alias("owner")), "owner").select("doc_id", "th", "owner", candidates(F.col("text")).alias("found")))
+
+
+def ownership(rows: DataFrame) -> DataFrame:
+    """h, owners, repos: for each candidate value of the proposed rows, its distinct owners and distinct texts over the whole corpus."""
+    each = rows.select("owner", "th", F.explode(F.transform("found", lambda x: x["h"])).alias("h"))
     # A null owner counts, in a struct.
-    return rows.groupBy("h").agg(F.count_distinct(F.struct("owner")).alias("owners"), F.count_distinct("th").alias("repos"))
+    return each.groupBy("h").agg(F.count_distinct(F.struct("owner")).alias("owners"), F.count_distinct("th").alias("repos"))
 
 
 def verdicts(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> tuple[DataFrame, DataFrame]:
     """(rows with their candidates, live hashes of each row that has any).  Both hold doc_id and th."""
-    rows = keyed(docs).select("doc_id", "th", candidates(F.col("text")).alias("found"))
+    rows = proposed(docs, owner)
     held = rows.where(F.size("found") > 0).select("doc_id", "th", F.explode(F.array_distinct(F.transform("found", lambda x: x["h"]))).alias("h"))
     # Cut, so that the join's two sides are plain exchanges and a value that very many documents hold is split among tasks.
-    live = cut(ownership(docs, owner).where((F.col("owners") < example_owners) & ((F.col("owners") < 2) | (F.col("repos") < example_repos))).select("h"))
+    live = cut(ownership(rows).where((F.col("owners") < example_owners) & ((F.col("owners") < 2) | (F.col("repos") < example_repos))).select("h"))
     marked = held.join(live, "h", "left_semi").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("h")).alias("live"))
-    return rows, marked
+    return rows.select("doc_id", "th", "found"), marked
 
 
 def scan(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
@@ -118,7 +123,8 @@ def redact(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE
     cols = docs.columns
     row = docs.select(F.struct(*(docs[c] for c in cols)).alias("_row"), docs["doc_id"].alias("doc_id"), F.xxhash64(text_of(docs["text"])).alias("th"))
     _, marked = verdicts(docs, owner, example_owners, example_repos)
-    both = attach(row, marked).select("_row", F.col("live").alias("_live"))
+    # Cut once: its rows are counted, and few enough are sent to the texts instead of the texts to them.
+    both = attach(row, bounded(cut(marked), "live")).select("_row", F.col("live").alias("_live"))
     clean = text_of(F.col("_row.text"))
     # Whole key blocks first: a match of another kind inside one would change its body.
     for kind in sorted(KINDS, key=lambda k: k != "pem"):
