@@ -7,10 +7,11 @@ suffix in 85.
 
 1. Anchors: hash of the anchor's gram (h), digest of its context (c: up to
    ``least - gram`` bytes before and ``least`` from the anchor, within the
-   document).  Equal contexts of one stretch of documents are combined before
-   anything is shuffled.
-2. Rows are dealt by h.  Contexts are counted; those of a gram with a single
-   occurrence are done.  A context that occurs twice or more repeats whole.
+   document).  They are written once.
+2. Grams are counted (combined before they are shuffled); only anchors of grams
+   with several occurrences go on.  Their contexts are counted by (h, c), and the
+   contexts by h.  No gram's rows are gathered in one place for this.  A context
+   that occurs twice or more repeats whole: equal leaves of the tree below.
 3. Where a gram has several contexts, one occurrence of each is read, and the
    contexts are sorted by the text from the anchor on (Spark's spilling sort):
    the suffix array.  A stack scan over its LCP array gives the common-prefix
@@ -22,8 +23,14 @@ suffix in 85.
    to all of its occurrences, and the union of a document's spans is removed.
 
 A gram with more than ``max_group`` different contexts isn't gathered in one
-task: its windows of ``least`` bytes are compared by two 64-bit hashes in an
-ordinary aggregation, which gives the same spans.
+task.  For the spans its windows of ``least`` bytes are compared by two 64-bit
+hashes in an ordinary aggregation; for the groups the nodes of its two trees are
+made by aggregations over prefixes.  Both give what the scan gives.
+
+``repeat_groups`` extends every group beyond the anchors' contexts, as far as
+all of its occurrences go along, so that each is a maximal repeat of the texts.
+A maximal repeat is missing only if each context inside it also occurs in
+further places; then the groups of those contexts stand for it.
 
 Bytes are those of UTF-8.  Null and empty texts, and texts of fewer than
 ``least`` bytes, keep all their bytes.  Repeated rows are repeats of each other.
@@ -32,14 +39,16 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewell.llm.common import attach, keyed, written
 
@@ -81,8 +90,8 @@ def window_anchors(h: np.ndarray, ends: np.ndarray, starts: np.ndarray, least: i
     return anchor[np.append(True, anchor[1:] != anchor[:-1])] if len(anchor) else anchor
 
 
-def _anchor_map(least: int, gram: int, combined: bool):
-    """Rows of the anchors of each stretch of documents; combined: one for each different context of the stretch, with its count."""
+def _anchor_map(least: int, gram: int):
+    """Rows of the anchors of each stretch of documents."""
 
     def rows(ids, ths, texts):
         import xxhash
@@ -103,21 +112,9 @@ def _anchor_map(least: int, gram: int, combined: bool):
         digest = xxhash.xxh3_64_intdigest
         view = memoryview(buf)
         c = np.fromiter((digest(view[a - x : a + y], x) for a, x, y in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
-        g = h[at].view(np.int64)
-        n = np.ones(len(at), np.int64)
-        if combined:
-            order = np.lexsort((c, g))
-            new = np.append(True, (g[order][1:] != g[order][:-1]) | (c[order][1:] != c[order][:-1]))
-            n = np.diff(np.append(np.flatnonzero(new), len(order)))
-            pick = order[new]
-            at, doc, left, right, c, g = at[pick], doc[pick], left[pick], right[pick], c[pick], g[pick]
         take = pa.array(doc)
-        columns = [pa.array(ids).take(take), pa.array(ths, pa.int64()).take(take), pa.array((at - starts[doc]).astype(np.int32)), pa.array(g), pa.array(c)]
-        names = ["doc_id", "th", "pos", "h", "c"]
-        if combined:
-            columns += [pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), pa.array(n)]
-            names += ["lft", "rgt", "n"]
-        return pa.RecordBatch.from_arrays(columns, names)
+        columns = [pa.array(ids).take(take), pa.array(ths, pa.int64()).take(take), pa.array((at - starts[doc]).astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), pa.array(h[at].view(np.int64)), pa.array(c)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "pos", "lft", "rgt", "h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ths, texts, room = [], [], [], STRETCH
@@ -143,19 +140,23 @@ def _texts(docs: DataFrame) -> DataFrame:
     return keyed(docs).select("doc_id", "th", F.col("text").cast("binary").alias("text"))
 
 
-def occurrences(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """doc_id, th, pos, h, c of every anchor."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs).mapInArrow(_anchor_map(least, gram, False), f"doc_id {kind}, th bigint, pos int, h bigint, c bigint")
+class Index(NamedTuple):
+    """alive: doc_id, th, pos, lft, rgt, h, c of every anchor whose gram occurs elsewhere; each: h, c, n and one occurrence of each context; many: h and others, how many contexts it has, where that is two or more."""
 
+    alive: DataFrame
+    each: DataFrame
+    many: DataFrame
 
-def contexts(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """h, c, n, others and one occurrence (doc_id, th, pos, lft, rgt) of each context that shares its gram with any other occurrence; others: how many contexts the gram has."""
+
+def index(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Index:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _texts(docs).mapInArrow(_anchor_map(least, gram, True), f"doc_id {kind}, th bigint, pos int, h bigint, c bigint, lft smallint, rgt smallint, n bigint")
-    # Dealt once, by h; both aggregations and the window below use that.
-    each = rows.repartition("h").groupBy("h", "c").agg(F.sum("n").alias("n"), *(F.first(x).alias(x) for x in ("doc_id", "th", "pos", "lft", "rgt")))
-    return each.withColumn("others", F.count("*").over(Window.partitionBy("h"))).where("n > 1 or others > 1")
+    anchors = written(_texts(docs).mapInArrow(_anchor_map(least, gram), f"doc_id {kind}, th bigint, pos int, lft smallint, rgt smallint, h bigint, c bigint"))
+    # Written, here and below, so that the joins' sides are plain exchanges and a gram that very many documents share is split among tasks.
+    shared = written(anchors.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
+    alive = written(anchors.join(shared, "h", "left_semi"))
+    each = written(alive.groupBy("h", "c").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("doc_id", "th", "pos", "lft", "rgt"))))
+    many = written(each.groupBy("h").agg(F.count("*").alias("others")).where("others > 1"))
+    return Index(alive, each, many)
 
 
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -226,16 +227,16 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int, gram: i
                     yield r, x, members
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, tuple[bytes, bytes]]]]:
-    """(h, c: (right, reversed left)) of sorted rows, each h once."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, tuple[bytes, bytes, int]]]]:
+    """(h, c: (right, reversed left, occurrences)) of sorted rows, each h once."""
     now, own = None, {}
     for b in batches:
-        for h, c, x, ctx in zip(*(b.column(k).to_pylist() for k in ("h", "c", "lft", "ctx")), strict=True):
+        for h, c, x, ctx, n in zip(*(b.column(k).to_pylist() for k in ("h", "c", "lft", "ctx", "n")), strict=True):
             if h != now:
                 if own:
                     yield now, own
                 now, own = h, {}
-            own[c] = (ctx[x:], ctx[:x][::-1])
+            own[c] = (ctx[x:], ctx[:x][::-1], n)
     if own:
         yield now, own
 
@@ -265,67 +266,163 @@ def _covered_map(least: int, gram: int):
     return run
 
 
+def holds_anchor(shared: bytes, at: int, least: int, gram: int) -> bool:
+    """Whether the gram at that place is the anchor of some window inside a shared string.
+
+    If so, it is an anchor wherever the string occurs; if not, other anchors find the string, at all of its places.
+    """
+    size = np.array([len(shared)])
+    return at in window_anchors(gram_hashes(shared, gram), size, size - size, least, gram)
+
+
 def _groups_map(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, own in _groups(batches):
-            names, out = list(own), []
+            # A context that occurs more than once is two equal leaves.
+            names, out = [c for c, (*_, n) in own.items() for _ in range(min(n, 2))], []
             for k, (r, x, members) in enumerate(maximal_repeats([own[c][0] for c in names], [own[c][1] for c in names], least, gram) if len(names) > 1 else ()):
-                out += [(h, k, r + x, names[i], x) for i in members]
+                right, left, _ = own[names[members[0]]]
+                if holds_anchor(left[:x][::-1] + right[:r], x, least, gram):
+                    out += [(h, k, r + x, c, x) for c in dict.fromkeys(names[i] for i in members)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["h", "k", "length", "c", "back"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["h", "k", "length", "c", "back"])
 
     return run
 
 
 def _read(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted with ctx, the bytes of each context, sorted by gram and then by the text from the anchor on."""
+    """wanted with ctx, the bytes of each context."""
     text, row = _texts(docs), wanted.withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})
     met = text.join(row, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")))
-    return met.select("h", "c", "n", "lft", F.substring("text", F.col("pos") - F.col("lft") + 1, F.col("lft") + F.col("rgt")).alias("ctx"))
+    # Repeated rows of the table give a context more than once; it repeats whole then, and is no more than that below.
+    return met.select("h", "c", "n", F.col("lft").cast("int").alias("lft"), F.substring("text", F.col("pos") - F.col("lft") + 1, F.col("lft") + F.col("rgt")).alias("ctx"))
 
 
 def _sorted(read: DataFrame) -> DataFrame:
-    return read.repartition("h").sortWithinPartitions("h", F.substring("ctx", F.col("lft") + 1, F.lit(1 << 30)), "c").select("h", "c", F.col("lft").cast("int").alias("lft"), "ctx")
+    return read.repartition("h").sortWithinPartitions("h", F.substring("ctx", F.col("lft") + 1, F.lit(1 << 30)), "c").select("h", "c", "lft", "ctx", "n")
 
 
-def covered(docs: DataFrame, least: int = LEAST, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
+def _split(docs: DataFrame, found: Index, max_group: int) -> tuple[DataFrame, DataFrame | None]:
+    """The contexts, with their bytes, of grams with up to max_group contexts, and of the others, if there are any."""
+    few = _read(docs, found.each.join(found.many.where(F.col("others") <= max_group), "h"))
+    crowd = found.many.where(F.col("others") > max_group)
+    return few, _read(docs, found.each.join(crowd, "h")) if crowd.limit(1).count() else None
+
+
+def _whole(found: Index, least: int) -> DataFrame:
+    return found.each.where((F.col("n") > 1) & (F.col("lft") + F.col("rgt") >= least))
+
+
+def covered(docs: DataFrame, found: Index, least: int = LEAST, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
     """h, c, fr, til: for each context that repeats, the repeated bytes around its anchor (fr <= 0, til exclusive)."""
-    found = written(contexts(docs, least, gram))
-    whole = found.where((F.col("n") > 1) & (F.col("lft") + F.col("rgt") >= least)).select("h", "c", (-F.col("lft")).cast("int").alias("fr"), F.col("rgt").cast("int").alias("til"))
-    scanned = _sorted(_read(docs, found.where(F.col("others").between(2, max_group)))).mapInArrow(_covered_map(least, gram), "h bigint, c bigint, fr int, til int")
-    parts = whole.unionByName(scanned)
-    if found.where(F.col("others") > max_group).limit(1).count():
-        parts = parts.unionByName(_by_windows(_read(docs, found.where(F.col("others") > max_group)), least))
+    few, crowd = _split(docs, found, max_group)
+    parts = _whole(found, least).select("h", "c", (-F.col("lft")).cast("int").alias("fr"), F.col("rgt").cast("int").alias("til"))
+    parts = parts.unionByName(_sorted(few).mapInArrow(_covered_map(least, gram), "h bigint, c bigint, fr int, til int"))
+    if crowd is not None:
+        parts = parts.unionByName(_by_windows(crowd, least))
     return parts.groupBy("h", "c").agg(F.min("fr").alias("fr"), F.max("til").alias("til"))
 
 
 def _by_windows(read: DataFrame, least: int) -> DataFrame:
-    each = read.select("h", "c", "n", F.col("lft").cast("int").alias("lft"), "ctx", F.explode(F.when(F.length("ctx") >= least, F.sequence(F.lit(0), F.length("ctx") - least))).alias("i"))
+    each = read.select("h", "c", "n", "lft", "ctx", F.explode(F.when(F.length("ctx") >= least, F.sequence(F.lit(0), F.length("ctx") - least))).alias("i"))
     cut_out = F.substring(F.col("ctx"), F.col("i") + 1, F.lit(least))
     each = each.select("h", "c", "n", (F.col("i") - F.col("lft")).alias("fr"), F.xxhash64(cut_out).alias("x"), F.xxhash64(F.lit(1), cut_out).alias("y"))
     many = each.groupBy("h", "fr", "x", "y").agg(F.sum("n").alias("m")).where("m > 1")
     return each.join(many, ["h", "fr", "x", "y"], "left_semi").select("h", "c", "fr", (F.col("fr") + least).alias("til"))
 
 
-def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
-    """repeat, length, doc_id, th, start: all occurrences of the maximal repeats around each anchor, lengths cut to the anchor's context.
+def _diverse(side: str) -> list[Column]:
+    return [F.min(side).alias(f"{side}_low"), F.max(side).alias(f"{side}_high")]
 
-    Contexts that repeat whole are groups of their own (k = -1).  Grams with more than max_group contexts are left to ``covered``.
+
+def _by_prefixes(read: DataFrame, least: int, gram: int) -> DataFrame:
+    """h, k, length, c, back of every maximal repeat around a gram, as _groups_map has them: the trees' nodes by aggregation.
+
+    A node is a common prefix that goes on in different ways (or ends); the
+    prefixes are compared by two 64-bit hashes.
+    """
+    # Where the bytes differ or end, the node branches.
+    branches = lambda side: (F.col(f"{side}_low") != F.col(f"{side}_high")) | (F.length(f"{side}_low") == 0)
+    both = lambda x: (F.xxhash64(x), F.xxhash64(F.lit(1), x))
+    each = read.select("h", "c", "lft", "ctx", F.least("n", F.lit(2)).alias("n"), F.explode(F.sequence(F.lit(gram), F.length("ctx") - F.col("lft"))).alias("r"))
+    a, b = both(F.substring(F.col("ctx"), F.col("lft") + 1, F.col("r")))
+    each = each.select("h", "c", "n", "lft", "ctx", "r", a.alias("a"), b.alias("b"), F.substring(F.col("ctx"), F.col("lft") + F.col("r") + 1, F.lit(1)).alias("next"))
+    node = ["h", "r", "a", "b"]
+    right = each.groupBy(*node).agg(F.sum("n").alias("m"), *_diverse("next")).where((F.col("m") > 1) & branches("next")).select(*node)
+    first = F.greatest(F.lit(0), least - F.col("r"))
+    back = each.join(right, node, "left_semi").where(first <= F.col("lft")).select(*node, "c", "n", "lft", "ctx", "next", F.explode(F.sequence(first, F.col("lft"))).alias("x"))
+    c, d = both(F.substring(F.col("ctx"), F.col("lft") - F.col("x") + 1, F.col("x")))
+    before = F.when(F.col("x") < F.col("lft"), F.substring(F.col("ctx"), F.col("lft") - F.col("x"), F.lit(1))).otherwise(F.lit(b""))
+    back = back.select(*node, "x", c.alias("p"), d.alias("q"), "c", "n", "next", before.alias("prev"), F.substring(F.col("ctx"), F.col("lft") - F.col("x") + 1, F.col("x") + F.col("r")).alias("shared"))
+    name = [*node, "x", "p", "q"]
+    left = back.groupBy(*name).agg(F.sum("n").alias("m"), *_diverse("next"), *_diverse("prev")).where((F.col("m") > 1) & branches("next") & branches("prev")).select(*name)
+
+    @F.pandas_udf("boolean")
+    def held(shared: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([holds_anchor(s, x, least, gram) for s, x in zip(shared, at, strict=True)])
+
+    return back.join(left, name, "left_semi").where(held("shared", "x")).select("h", F.xxhash64(*name[1:]).alias("k"), (F.col("r") + F.col("x")).alias("length"), "c", F.col("x").alias("back"))
+
+
+def _pieces(docs: DataFrame, least: int, gram: int, max_group: int) -> DataFrame:
+    """repeat, length, doc_id, th, start: the maximal repeats around each anchor within the contexts, at all their occurrences."""
+    found = index(docs, least, gram)
+    few, crowd = _split(docs, found, max_group)
+    # A gram's only context, if it occurs more than once, is a tree of equal leaves: k is null.
+    parts = _whole(found, least).join(found.many, "h", "left_anti").select("h", F.lit(None).cast("bigint").alias("k"), (F.col("lft") + F.col("rgt")).cast("int").alias("length"), "c", F.col("lft").cast("int").alias("back"))
+    parts = parts.unionByName(_sorted(few).mapInArrow(_groups_map(least, gram), "h bigint, k bigint, length int, c bigint, back int"))
+    if crowd is not None:
+        parts = parts.unionByName(_by_prefixes(crowd, least, gram))
+    name = F.concat_ws("-", F.hex("h"), F.coalesce(F.hex("k"), F.concat(F.lit("c"), F.hex("c"))), "length", "back")
+    every = written(parts.select("h", "c", name.alias("repeat"), "length", "back")).join(found.alive, ["h", "c"])
+    return every.select("repeat", F.col("length").cast("int").alias("length"), "doc_id", "th", (F.col("pos") - F.col("back")).alias("start"))
+
+
+def _common(low: Column, high: Column) -> Column:
+    """Bytes that all strings between these two, in hex, share at their start: the least and the greatest share what all share."""
+    most = F.floor(F.least(F.length(low), F.length(high)) / 2).cast("int")
+    same = F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: F.substring(low, 2 * i - 1, F.lit(2)) == F.substring(high, 2 * i - 1, F.lit(2)))
+    first = F.array_position(same, False).cast("int")
+    return F.when(most == 0, 0).when(first == 0, most).otherwise(first - 1)
+
+
+def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM, max_group: int = MAX_GROUP, step: int = 256) -> DataFrame:
+    """repeat, length, doc_id, th, start: all occurrences of the maximal repeats of at least least bytes.
+
+    Pieces are extended step bytes at a time on either side while all of their
+    occurrences go along; pieces that grow to the same repeat are given once.
+    Repeated rows of the table count as one occurrence each.
     """
-    found = written(contexts(docs, least, gram))
-    whole = found.where((F.col("n") > 1) & (F.col("lft") + F.col("rgt") >= least)).select("h", F.lit(-1).alias("k"), (F.col("lft") + F.col("rgt")).cast("int").alias("length"), "c", F.col("lft").cast("int").alias("back"))
-    scanned = _sorted(_read(docs, found.where(F.col("others").between(2, max_group)))).mapInArrow(_groups_map(least, gram), "h bigint, k int, length int, c bigint, back int")
-    every = whole.unionByName(scanned).join(occurrences(docs, least, gram), ["h", "c"])
-    name = F.concat_ws("-", F.hex("h"), F.when(F.col("k") < 0, F.hex("c")).otherwise(F.col("k").cast("string")))
-    return every.select(name.alias("repeat"), "length", "doc_id", "th", (F.col("pos") - F.col("back")).alias("start"))
+    open_ones, done = written(_pieces(docs, least, gram, max_group)), []
+    text = _texts(docs).dropDuplicates(["doc_id", "th"])
+    while not open_ones.isEmpty():
+        key = open_ones.withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})
+        met = key.join(text, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")))
+        turned = F.reverse(F.expr("regexp_extract_all(hex(substring(text, greatest(start - %d, 0) + 1, least(start, %d))), '..', 0)" % (step, step)))
+        sides = met.select("repeat", "length", F.array_join(turned, "").alias("before"), F.hex(F.substring(F.col("text"), F.col("start") + F.col("length") + 1, F.lit(step))).alias("after"))
+        grown = sides.groupBy("repeat").agg(F.max("length").alias("size"), *(f(x).alias(f"{x}_{n}") for x in ("before", "after") for f, n in ((F.min, "low"), (F.max, "high"))))
+        grown = grown.select("repeat", "size", _common(F.col("before_low"), F.col("before_high")).alias("back"), _common(F.col("after_low"), F.col("after_high")).alias("on"))
+        moved = written(open_ones.join(grown, "repeat").select("repeat", (F.col("length") + F.col("back") + F.col("on")).cast("int").alias("length"), "doc_id", "th", (F.col("start") - F.col("back")).cast("int").alias("start"), ((F.col("back") == step) | (F.col("on") == step)).alias("more")))
+        # Pieces that have become the same repeat are one from here on: a repeat is told by its first occurrence, its length and its number.
+        first = moved.groupBy("repeat").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "start")).alias("first"), F.max("length").alias("size"), F.count("*").alias("m"))
+        stay = first.groupBy("first", "size", "m").agg(F.min("repeat").alias("repeat")).select("repeat")
+        moved = written(moved.join(stay, "repeat", "left_semi"))
+        done.append(moved.where(~F.col("more")).drop("more"))
+        open_ones = moved.where("more").drop("more")
+    if not done:
+        return open_ones
+    every = functools.reduce(DataFrame.unionByName, done)
+    # Pieces that ended in different rounds may be the same, too.
+    first = every.groupBy("repeat").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "start")).alias("first"), F.max("length").alias("size"), F.count("*").alias("m"))
+    return every.join(first.groupBy("first", "size", "m").agg(F.min("repeat").alias("repeat")).select("repeat"), "repeat", "left_semi")
 
 
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
     """doc_id, th, spans: the repeated byte spans (s, e) of each document that has any, sorted, not yet merged."""
-    # Written (columns pack better than checkpointed rows), so that the join's two sides are plain exchanges and a passage that very many documents share is split among tasks.
-    found = written(covered(docs, least, gram, max_group))
-    met = occurrences(docs, least, gram).join(found, ["h", "c"])
-    return met.select("doc_id", "th", F.struct((F.col("pos") + F.col("fr")).alias("s"), (F.col("pos") + F.col("til")).alias("e")).alias("span")).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    index_of = index(docs, least, gram)
+    found = written(covered(docs, index_of, least, gram, max_group))
+    met = index_of.alive.join(found, ["h", "c"])
+    return met.select("doc_id", "th", F.struct((F.col("pos") + F.col("fr")).alias("s"), (F.col("pos") + F.col("til")).alias("e")).alias("span")).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
 def _merged(found: list[dict]) -> list[tuple[int, int]]:
