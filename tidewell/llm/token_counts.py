@@ -6,7 +6,9 @@
    stretch's documents goes along.  Nothing is kept per token of the corpus.
 2. Reduce, by bucket: the library counts the pieces of each distinct
    pre-token of the bucket once; the counts are joined to the packed
-   frequencies and summed by document.  No ids leave the library.
+   frequencies and summed by document.  Lists of ids are never made.  The
+   counts remembered are at most ``REMEMBERED``; beyond that a pre-token may be
+   counted again.
 3. The partial sums of a stretch meet its directory, one small group for each
    stretch, whose pre-token totals are compared: a mismatch is an error.
 
@@ -15,8 +17,14 @@ bucket that also depends on the stretch, so that no bucket has to take one
 entry for each document of the corpus; such a pre-token is counted once for
 each bucket instead of once.
 
+The rows of each partition are sorted by text hash and id before they are cut
+to stretches, so a task that runs again makes the same stretches whatever order
+its input arrives in, and the partial sums of the first run still fit.
+
 The tokenizer's file is read on the driver and shipped (a fixed size).  Its
-special strings are single tokens inside texts, as by the library's default.
+special strings are single tokens inside texts, as by the library's default;
+ones that also take the blanks around them, or only stand as whole words, are
+refused.  doc_id may be of any type that has an order.
 Null and empty texts have no bytes and no tokens.  Repeated rows are counted
 alike, each on its own.  Other columns are ignored.
 """
@@ -30,15 +38,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.llm.common import text_of
 
 LIMIT = 1024
-STRETCH = 12 << 20
+STRETCH, REMEMBERED = 12 << 20, 1 << 20
 #: White space and the pre-token pattern of byte-level BPE: fixed values.
 WHITE_POINTS = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 WHITE = "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in WHITE_POINTS)
@@ -144,12 +152,14 @@ def _reducer(tokenizer_json: str):
                     n_docs, joined, lengths, df, step, freq = _unpack(payload)
                     ends = np.cumsum(lengths)
                     coded = [joined[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                    if len(pieces) > REMEMBERED:
+                        pieces.clear()
                     new = [c for c in coded if c not in pieces]
                     if new:
                         library = library or Tokenizer.from_str(tokenizer_json)
                         for i in range(0, len(new), 4096):
                             few = new[i : i + 4096]
-                            pieces.update(zip(few, (len(e.ids) for e in library.encode_batch_fast([c.decode() for c in few], add_special_tokens=False)), strict=True))
+                            pieces.update(zip(few, (len(e) for e in library.encode_batch_fast([c.decode() for c in few], add_special_tokens=False)), strict=True))
                     each = np.repeat(np.fromiter((pieces[c] for c in coded), np.int64, len(coded)), df)
                     doc = np.cumsum(step.astype(np.int64))
                     sums = np.bincount(doc, weights=freq * each, minlength=n_docs).astype(np.int64)
@@ -161,38 +171,46 @@ def _reducer(tokenizer_json: str):
     return run
 
 
-def _gather(limit: int, kind: str):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        heads = rows.loc[rows["kind"] == 0, "payload"]
+def _gather(limit: int, kind: pa.DataType):
+    def run(rows: pa.Table) -> pa.Table:
+        name = rows.column("stretch")[0].as_py()
+        heads = [p for p, k in zip(rows.column("payload").to_pylist(), rows.column("kind").to_pylist(), strict=True) if k == 0]
         if len(heads) != 1:
-            raise ValueError(f"stretch {rows['stretch'].iloc[0]}: {len(heads)} directories; its input was not read alike twice")
-        ids, sizes, total, pre = _unpack(heads.iloc[0])
+            raise ValueError(f"stretch {name}: {len(heads)} directories; its input was not read alike twice")
+        ids, sizes, total, pre = _unpack(heads[0])
         seen = 0
-        for payload in rows.loc[rows["kind"] == 1, "payload"]:
-            sums, n = _unpack(payload)
-            total = total + sums
-            seen += n
+        for payload, k in zip(rows.column("payload"), rows.column("kind").to_pylist(), strict=True):
+            if k == 1:
+                sums, n = _unpack(payload.as_py())
+                total = total + sums
+                seen += n
         if seen != pre.sum():
-            raise ValueError(f"stretch {rows['stretch'].iloc[0]}: {seen} of {pre.sum()} pre-tokens; its input was not read alike twice")
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype=kind), "n_bytes": np.asarray(sizes, np.int64), "n_tokens": total, "n_pre_tokens": pre, "over_limit": total > limit})
+            raise ValueError(f"stretch {name}: {seen} of {pre.sum()} pre-tokens; its input was not read alike twice")
+        return pa.table({"doc_id": pa.array(ids, kind), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(total, pa.int64()), "n_pre_tokens": pa.array(pre, pa.int64()), "over_limit": pa.array(total > limit)})
 
     return run
 
 
+def special_strings(own: dict) -> list[str]:
+    """The added tokens of a tokenizer's description, which must be a plain byte-level BPE."""
+    if own["pre_tokenizer"]["type"] != "ByteLevel" or not own["pre_tokenizer"].get("use_regex", True) or own["pre_tokenizer"]["add_prefix_space"] or own.get("normalizer"):
+        raise ValueError("a byte-level BPE without normaliser and prefix space is needed")
+    if any(t.get(k) for t in own["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take blanks or stand only as whole words are not supported")
+    return [t["content"] for t in own["added_tokens"]]
+
+
 def count(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, n_pre_tokens, over_limit for every row.  tokenizer_file: a byte-level BPE file of the tokenizers library, on the driver."""
     with open(tokenizer_file, encoding="utf-8") as f:
         described = f.read()
-    own = json.loads(described)
-    if own["pre_tokenizer"]["type"] != "ByteLevel" or not own["pre_tokenizer"].get("use_regex", True) or own["pre_tokenizer"]["add_prefix_space"] or own.get("normalizer"):
-        raise ValueError("a byte-level BPE without normaliser and prefix space is needed")
-    special = [t["content"] for t in own["added_tokens"]]
+    special = special_strings(json.loads(described))
     session = docs.sparkSession
     wide = int(session.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 2 * wide
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), F.octet_length(text_of()).cast("bigint").alias("n_bytes"))
+    field = docs.schema["doc_id"].dataType
+    kind = field.simpleString()
+    rows = docs.select(F.col("doc_id"), text_of().alias("text"), F.octet_length(text_of()).cast("bigint").alias("n_bytes"), F.xxhash64(text_of()).alias("th")).sortWithinPartitions("th", "doc_id")
     packed = rows.mapInArrow(_mapper(special, buckets), PACKED).repartition(wide, "bucket")
     summed = packed.mapInArrow(_reducer(described), "stretch string, kind int, payload binary")
-    out = summed.groupBy("stretch").applyInPandas(_gather(limit, "Int64"), "doc_id bigint, n_bytes bigint, n_tokens bigint, n_pre_tokens bigint, over_limit boolean")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return summed.groupBy("stretch").applyInArrow(_gather(limit, to_arrow_type(field)), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, n_pre_tokens bigint, over_limit boolean")
