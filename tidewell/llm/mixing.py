@@ -3,22 +3,30 @@
 Domains are those of a labelled table (here: ``clean``, ``toxic`` and ``junk``,
 from quality and toxic).  A naive Bayes classifier over hashed words, learned
 from at most ``max_labelled`` labelled rows, gives every document domain
-posteriors (kept to ``GRID`` parts, at least one domain each).  Document i
-has n_i tokens (words), so that rates r_i >= 0 give expected domain totals
-``sum_i r_i n_i p_i``.  Projected gradient descent fits the rates to
-``total * target`` by least squares: starting from 1, each step aggregates the
-residual over the corpus and moves every rate along its own part of the
-gradient (scaled by the small matrix ``sum n p p'`` over documents of
-positive rate), cut at 0.  Documents of equal posteriors have equal rates, so
-the sums run over the table of distinct posteriors, at most one row for each
-grid point.
+posteriors, in whole parts of ``GRID`` that add up to it.  Document i has n_i
+tokens (words), so that rates r_i >= 0 give expected domain totals
+``sum_i r_i n_i p_i``.  With N tokens in all and ``s_d`` the share of them that
+domain d expects at rate 1, projected gradient descent minimises
+
+    sum_d (sum_i r_i n_i p_id / N - target_d)^2 / (2 s_d)   over r >= 0,
+
+starting from 1, in the metric ``sum_i n_i r_i^2 / N``.  There the gradient of
+r_i is ``sum_d p_id miss_d / s_d``, the projection is the cut at 0, and the
+curvature is at most 1 (its matrix has the eigenvector sqrt(s) with the
+eigenvalue 1 and no negative entry), so that steps of length 1 never overshoot
+and converge; they are taken with momentum, which starts anew whenever it points
+uphill.  The descent ends when every domain is met within ``CLOSE``, when the
+rates no longer move, which is the condition for the minimum, or after
+``STEPS``; ``gap`` is the largest distance from a target that is left.  Documents of equal posteriors
+have equal rates, so the sums run over the table of distinct posteriors, at most
+one row for each grid point.
 
 Only sums of the number of domains reach the driver in a step.  The
 classifier's tables are ``cells`` x domains.  Null and empty texts have no
 tokens, posteriors equal to the prior, and a rate like any other.  Repeated
 rows have equal rates.  Without labels all posteriors are uniform.  A target
-domain without tokens can't be met; the others are then met as well as
-least squares allows.  Columns named like the results are replaced by ``mix``;
+domain without tokens can't be met, nor, as a rule, can one of 0; ``gap`` then
+is over 0 and the totals are the nearest ones.  Columns named like the results are replaced by ``mix``;
 others are passed through.
 """
 
@@ -36,7 +44,7 @@ from tidewell.llm.common import attach, cut, keyed, text_of
 
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.90, "toxic": 0.02, "junk": 0.08}
-MAX_LABELLED, CELLS, GRID, TEMPERATURE, STEPS, CLOSE = 20_000, 1 << 15, 64, 4.0, 60, 1e-9
+MAX_LABELLED, CELLS, GRID, TEMPERATURE, STEPS, CLOSE = 20_000, 1 << 15, 64, 4.0, 100, 1e-6
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -97,6 +105,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return prior, np.log((n + 4 * every) / (size + 4))
 
 
+def whole_parts(p: np.ndarray, grid: int) -> np.ndarray:
+    """Rows of shares as whole parts that add up to grid, what rounding down leaves going to the largest rests."""
+    exact = grid * p
+    out = np.floor(exact + 1e-9).astype(np.int64)
+    rest = np.argsort(np.argsort(out - exact, axis=1, kind="stable"), axis=1, kind="stable")
+    return (out + (rest < (grid - out.sum(axis=1))[:, None])).astype(np.int16)
+
+
 def _posterior_map(prior: np.ndarray, table: np.ndarray, grid: int, temperature: float):
     base = np.log(np.exp(table).mean(axis=1, keepdims=True))
     ratio = (table - base).astype(np.float32)
@@ -111,7 +127,7 @@ def _posterior_map(prior: np.ndarray, table: np.ndarray, grid: int, temperature:
                 logs[i] = ratio[found].sum(axis=0, dtype=np.float64)
             p = prior + logs / temperature
             p = np.exp(p - p.max(axis=1, keepdims=True))
-            p = np.rint(grid * p / p.sum(axis=1, keepdims=True)).astype(np.int16)
+            p = whole_parts(p / p.sum(axis=1, keepdims=True), grid)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int64()), *(pa.array(p[:, j]) for j in range(len(prior)))], ["doc_id", "th", "n_tokens", *(f"p{j}" for j in range(len(prior)))])
 
     return run
@@ -124,46 +140,55 @@ def posteriors(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     return keyed(docs).mapInArrow(_posterior_map(prior, table, grid, temperature), f"doc_id {kind}, th bigint, n_tokens bigint, " + ", ".join(f"p{j} smallint" for j in range(len(prior))))
 
 
-def rate(p: list[Column], history: list[np.ndarray]) -> Column:
-    """The rate of posteriors p after the steps so far, each cut at 0."""
+def moves(p: list[Column], history: list[tuple[float, np.ndarray]]) -> Column:
+    """The rate of posteriors p after the steps so far (momentum and gradient of each), the rate before, and the place between that the last step started from."""
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("prev"), F.lit(1.0).alias("y"))
     if not history:
-        return F.lit(1.0)
-    steps = F.from_json(F.lit(str([[float(x) for x in g] for g in history])), "array<array<double>>")
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((x * g[j] for j, x in enumerate(p)), F.lit(0.0))))
+        return start
+    steps = F.from_json(F.lit(str([[float(m), *map(float, g)] for m, g in history])), "array<array<double>>")
+
+    def step(a: Column, g: Column) -> Column:
+        y = a["r"] + g[0] * (a["r"] - a["prev"])
+        now = F.greatest(F.lit(0.0), y - sum((x * g[j + 1] for j, x in enumerate(p)), F.lit(0.0)))
+        return F.struct(now.alias("r"), a["r"].alias("prev"), y.alias("y"))
+
+    return F.aggregate(steps, start, step)
 
 
-def fit(found: DataFrame, targets: dict[str, float], grid: int = GRID, steps: int = STEPS, close: float = CLOSE) -> list[np.ndarray]:
-    """The steps that take every rate from 1 to its fitted value."""
+def fit(found: DataFrame, targets: dict[str, float], grid: int = GRID, steps: int = STEPS, close: float = CLOSE) -> tuple[list[tuple[float, np.ndarray]], float]:
+    """The steps that take every rate from 1 to its fitted value, and the gap that they leave."""
     k = len(DOMAINS)
     names = [f"p{j}" for j in range(k)]
     points = cut(found.groupBy(*names).agg(F.sum("n_tokens").cast("double").alias("n")).where("n > 0"))
     p = [F.col(x) / grid for x in names]
     total = points.agg(F.sum("n")).first()[0]
     if not total:
-        return []
+        return [], 0.0
     weights = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    goal, history, best = weights / weights.sum(), [], (np.inf, 0)
-    for _ in range(steps):
-        at = points.select("n", *(x.alias(f"x{j}") for j, x in enumerate(p)), rate(p, history).alias("r"))
-        x = [F.col(f"x{j}") for j in range(k)]
-        alive = F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
-        row = at.agg(*(F.sum(F.col("n") * F.col("r") * a) for a in x), *(F.sum(alive * a * b) for a in x for b in x)).first()
-        miss = np.array(row[:k]) / total - goal
-        if float(miss @ miss) < best[0]:
-            best = float(miss @ miss), len(history)
-        if np.abs(miss).max() < close:
-            break
-        curve = np.array(row[k:]).reshape(k, k) / total
-        history = [*history, np.linalg.pinv(curve + 1e-6 * np.eye(k)) @ miss]
-    return history[: best[1]]
+    goal, history, share, age = weights / weights.sum(), [], None, 1.0
+    while True:
+        at = points.select("n", *(x.alias(f"x{j}") for j, x in enumerate(p)), moves(p, history).alias("m")).select("*", "m.*")
+        moved = F.col("r") - F.col("prev")
+        sums = [F.sum(F.col("n") * F.col(c) * F.col(f"x{j}")) for c in ("r", "prev") for j in range(k)]
+        row = at.agg(*sums, F.sum(F.col("n") * moved * moved), F.sum(F.col("n") * (F.col("y") - F.col("r")) * moved)).first()
+        now, before = np.array(row[:k]) / total, np.array(row[k : 2 * k]) / total
+        share = now if share is None else share
+        gap = float(np.abs(now - goal).max())
+        if gap < close or len(history) >= steps or history and row[2 * k] / total < close**2:
+            return history, gap
+        age = 1.0 if row[2 * k + 1] > 0 else age
+        older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+        momentum = (older - 1) / age if history else 0.0
+        miss = now + momentum * (now - before) - goal
+        history = [*history, (momentum, np.where(share > 0, miss / np.maximum(share, 1e-300), 0.0))]
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED, cells: int = CELLS, grid: int = GRID) -> DataFrame:
-    """doc_id, th, n_tokens, a posterior for each domain, and rate, for every row."""
+    """doc_id, th, n_tokens, a posterior for each domain, rate and gap, for every row."""
     found = cut(posteriors(docs, labels, max_labelled, cells, grid))
-    history = fit(found, targets or TARGETS, grid)
+    history, gap = fit(found, targets or TARGETS, grid)
     p = [F.col(f"p{j}") / grid for j in range(len(DOMAINS))]
-    return found.select("doc_id", "th", "n_tokens", *(x.alias(f"p_{d}") for x, d in zip(p, DOMAINS, strict=True)), rate(p, history).alias("rate"))
+    return found.select("doc_id", "th", "n_tokens", *(x.alias(f"p_{d}") for x, d in zip(p, DOMAINS, strict=True)), moves(p, history)["r"].alias("rate"), F.lit(gap).alias("gap"))
 
 
 def copies(value: Column, doc_id: Column, th: Column) -> Column:
@@ -173,7 +198,7 @@ def copies(value: Column, doc_id: Column, th: Column) -> Column:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return rates(docs, labels).select("doc_id", "n_tokens", *(F.round(f"p_{d}", 6).alias(f"p_{d}") for d in DOMAINS), F.round("rate", 6).alias("rate"), copies(F.col("rate"), F.col("doc_id"), F.col("th")).alias("copies"))
+    return rates(docs, labels).select("doc_id", "n_tokens", *(F.round(f"p_{d}", 6).alias(f"p_{d}") for d in DOMAINS), F.round("rate", 6).alias("rate"), copies(F.col("rate"), F.col("doc_id"), F.col("th")).alias("copies"), F.round("gap", 6).alias("gap"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
