@@ -448,6 +448,48 @@ def test_held_out_accuracy(spark, sf):
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.9 * len(rows)
 
 
+def test_ranker_takes_all_rows_and_pairs(spark):
+    """More labelled rows than the former bounds: moments, loss and cut are those of all of them."""
+    r = np.random.default_rng(6)
+    q = (np.arange(13_000) % 6 != 0).astype(int)
+    z = r.normal(0.5 * (2 * q - 1)[:, None], 1, (len(q), 3))
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(q, z, strict=True)], "quality int, z array<double>").repartition(4)
+    w = np.array([0.4, -0.2, 0.9])
+    grad, hess = quality_rank.derivatives(rows, w)
+    good, bad = z[q == 1], z[q == 0]
+    p = 1 / (1 + np.exp((good @ w)[:, None] - (bad @ w)[None]))
+    v = p * (1 - p)
+    cross = good.T @ v @ bad
+    assert np.allclose(grad, -(good.T @ p.sum(axis=1) - bad.T @ p.sum(axis=0)) / p.size, atol=1e-4)
+    assert np.allclose(hess, (good.T * v.sum(axis=1) @ good + bad.T * v.sum(axis=0) @ bad - cross - cross.T) / p.size, atol=1e-4)
+    found = quality_rank.learn(good[:300], bad[:200])
+    few = spark.createDataFrame([(a, x.tolist()) for a, part in ((1, good[:300]), (0, bad[:200])) for x in (part - found.mean) / found.scale], "quality int, z array<double>")
+    assert np.allclose(quality_rank.minimise(few, 3), found.w, atol=1e-3)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 0.9, 1.0])
+def test_quantile_over_the_cluster(spark, share):
+    r = np.random.default_rng(7)
+    for x in (r.normal(0, 1, 3001), np.round(r.normal(0, 50, 500)) * 1e6, np.array([3.0]), np.array([1.0, 2.0])):
+        rows = spark.createDataFrame([(float(v), 1.0) for v in x], "s double, weight double")
+        own = np.unique(x)
+        below = np.array([(x <= v).sum() for v in own]) / len(x)
+        k = int(np.clip(np.searchsorted(below, share + 1e-12, side="right"), 1, max(len(own) - 1, 1)))
+        assert quality_rank.quantile(rows, share) == pytest.approx((own[k - 1] + own[min(k, len(own) - 1)]) / 2)
+
+
+def test_every_labelled_row_is_fitted(spark, monkeypatch):
+    """Over 10,000 rows of each class, the former bound: all are in the fit."""
+    docs = spark.range(33_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("rain on the road")).otherwise(F.lit("BUY!! $$ now")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    wanted = dict(labels.where(~quality_rank.held_out(F.col("doc_id"))).groupBy("quality").count().collect())
+    assert min(wanted.values()) > 10_000
+    seen = []
+    monkeypatch.setattr(quality_rank, "minimise", lambda rows, k: seen.append(dict(rows.groupBy("quality").count().collect())) or np.ones(k))
+    quality_rank.fit(docs, labels)
+    assert seen == [wanted]
+
+
 def test_mixing(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = mixing.rates(docs, labels).collect()
