@@ -266,6 +266,31 @@ def test_crowded_variants_of_one_text(spark, block, threshold):
     assert max(map(len, want)) > 200
 
 
+def test_rows_of_a_large_family_are_as_many_as_its_members(spark):
+    """A node is a candidate with one centre, and a large component in a bucket isn't dealt to the tiles of all its blocks."""
+    r = random.Random(8)
+    buckets = {k: r.sample(range(60), 20) for k in range(12)}
+    met = spark.createDataFrame([(n, k, len(own)) for k, own in buckets.items() for n in own], "node bigint, key bigint, n bigint")
+    pairs = [(x["a"], x["b"]) for x in simhash_similar.stars(met).collect()]
+    assert pairs and len(pairs) <= len({n for own in buckets.values() for n in own})
+    assert all(any(a in own and b in own for own in buckets.values()) for a, b in pairs)
+    family, others = list(range(50)), [100, 200, 201]
+    roots = {**{n: 0 for n in family}, 100: 100, 200: 200, 201: 200}
+    met = spark.createDataFrame([(n, 7, 53) for n in family + others] + [(n, 8, 50) for n in family], "node bigint, key bigint, n bigint")
+    members = simhash_similar.divided(met, spark.createDataFrame(list(roots.items()), "node bigint, root bigint"))
+    distinct = spark.createDataFrame([(n, *([n] * simhash_similar.WORDS)) for n in roots], "node bigint, " + ", ".join(f"{c} bigint" for c in simhash_similar.NAMES))
+    rows = simhash_similar.tiled(members, distinct, 8).collect()
+    assert len(rows) == 50 + 3 * (7 + 1) and {x["key"] for x in rows} == {7}
+    tiles = collections.defaultdict(list)
+    for x in rows:
+        tiles[x["i"], x["j"]].append(x)
+    met_in = collections.Counter()
+    for (i, j), own in tiles.items():
+        for x in own:
+            met_in.update((min(x["node"], y["node"]), max(x["node"], y["node"])) for y in own if x["block"] == i and y["block"] == j and x["root"] != y["root"] and (i != j or x["node"] < y["node"]))
+    assert met_in == collections.Counter((a, b) for a in roots for b in roots if a < b and roots[a] != roots[b])
+
+
 def test_recall_of_similar_pairs(spark):
     """Pairs of texts alike in 0.8 or more, alone and in families of edited copies: nine in ten are linked in each band."""
     r = random.Random(4)
