@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import decontam, license_scan, mixing, pii, quality_rank, quality_rules, queries, repeats, secret_scan, simhash, simhash_similar, token_counts
+from tidewell.llm import components, decontam, license_scan, mixing, pii, quality_rank, quality_rules, queries, repeats, secret_scan, simhash, simhash_similar, token_counts
+from tidewell.llm.common import cut
 from tidewell.llm.components import connect
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, h string, score double, kind string, spans string, w string, items string, th string, live string"
@@ -318,6 +319,34 @@ def test_recall_of_similar_pairs(spark):
         assert all_pairs and all(hit[b] >= 0.9 * n for b, n in all_pairs.items()), (family, all_pairs, hit)
 
 
+def test_plan_counts_the_pairs_that_meet(spark):
+    """Unrelated nodes: no part looks so dear by a sketch's noise that another one is probed with flipped bits instead."""
+    f = np.random.default_rng(9).integers(-(2**63), 2**63 - 1, (3000, simhash_similar.WORDS))
+    distinct = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(f)], "node bigint, " + ", ".join(f"{c} bigint" for c in simhash_similar.NAMES)).repartition(4)
+    assert {t for _, t in simhash_similar.plan(distinct)} == {0}
+    x = np.unpackbits(f.view(np.uint8), axis=1, bitorder="little")
+    parts = [list(range(8)), list(range(100, 109))]
+    want = [sum(c * (c - 1) / 2 for c in collections.Counter(simhash_similar.part_values(x, p).tolist()).values()) for p in parts]
+    assert simhash_similar.equal_pairs(distinct, parts, 1).tolist() == want
+    assert simhash_similar.equal_pairs(distinct, parts, 4) == pytest.approx(want, rel=0.3)
+
+
+def test_few_edges_move_no_rows(spark, monkeypatch):
+    r, seen = random.Random(3), []
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)]
+    d = spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(components, "cut", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    for few in (components.FEW_EDGES, 0):
+        seen.clear()
+        assert dict(map(tuple, components.connect(d, few).collect())) == root
+        assert any("Exchange hashpartitioning" in x for x in seen[1:]) == (not few)
+
+
 def test_allocation_is_of_least_cost():
     import itertools
 

@@ -156,6 +156,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver look for what nothing refers to any more, so that the files of finished shuffles go now and not when its heap is full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the cluster's shared checkpoint folder, read again.  The table goes when the driver ends."""
     spark = df.sparkSession
