@@ -544,6 +544,21 @@ def test_every_labelled_row_is_fitted(spark, monkeypatch):
     assert seen == [wanted]
 
 
+def test_only_texts_that_may_be_labelled_are_moved(spark):
+    docs = spark.range(40_000).select((F.col("id") * 7 - 9000).alias("doc_id"), F.lit("rain").alias("text"))
+    labels = docs.where(F.col("doc_id") % 5 == 0).select("doc_id", F.pmod("doc_id", F.lit(2)).cast("int").alias("quality"))
+    ids = labels.where(~quality_rank.held_out(F.col("doc_id"))).select("doc_id")
+    n = ids.count()
+    found = quality_rank.possible(docs, ids, n)
+    assert found.columns == docs.columns and ids.exceptAll(found.select("doc_id")).isEmpty()
+    assert found.count() < n + (40_000 - n) / 10
+    assert quality_rank.possible(docs.withColumn("doc_id", F.col("doc_id").cast("string")), ids, n).count() == 40_000
+    texts = quality_rank.labelled(docs, labels)[0]
+    assert texts.count() == n and texts.select("_id").exceptAll(ids).isEmpty()
+    # The texts' side of the join reads no rows but those.
+    assert "bitmap_construct_agg" in texts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mixing(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = mixing.rates(docs, labels).collect()

@@ -14,7 +14,8 @@ The fit takes every labelled row whose crc32(doc_id as text) mod 3 is not 1, and
 every pair of a preferred and a rejected one.  The rows are halved by a hash of
 their id: each half counts its words for the learned measure of the other, so no
 row is measured by its own label, and a document's measure is the mean of both
-halves' ones.  The rows stay in the cluster.  A Newton step sums their moments
+halves' ones.  The rows stay in the cluster, and a bitmap of the labelled ids'
+hashes keeps most other texts from being moved to them.  A Newton step sums their moments
 by class and by cells of the score ``GRID`` wide, at most ``2 * EDGE / GRID`` of
 them, and a pair's weight in the loss' derivatives is that of its cells' mean
 scores.  Quantiles are exact, found by counting in ever narrower ranges.  A
@@ -42,6 +43,8 @@ from tidewell.llm.common import LOWER, UPPER, cut, let, text_of, written
 MAX_PAIRS, RIDGE, STEPS, CELLS = 200_000, 1e-3, 30, 1 << 13
 #: Width of a score's cells while the loss is minimised, and where its last cells begin; ranges that a quantile's counts have; a step that ends the minimisation.
 GRID, EDGE, RANGES, CLOSE = 1 / 32, 32, 1024, 1e-4
+#: Bits for each labelled id in the bitmap that texts are looked up in before they are moved; its bits at most (32 MiB).
+BITS_EACH, MOST_BITS = 16, 1 << 28
 FEATURES = ("log_words", "symbols", "capitals", "exclaims", "digits", "stops", "distinct_words", "distinct_lines", "word_length", "cells")
 DIGITS, BLANKS = "0123456789", "\t\n\x0b\x0c\r"
 
@@ -229,6 +232,25 @@ def quantile(rows: DataFrame, share: float) -> float:
     return float((rows.where(F.col("s") < high).agg(F.max("s")).first()[0] + high) / 2)
 
 
+def possible(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of docs whose doc_id may be one of the n in ids: all that are, and of the others about one in BITS_EACH, by a bitmap of hashes.
+
+    So a join after it moves few texts of other rows.  The bitmap has BITS_EACH to 2 * BITS_EACH bits for each
+    id, in rows of 4 KiB, and MOST_BITS at most; beyond them more of the other rows stay.
+    """
+    if docs.schema["doc_id"].dataType != ids.schema["doc_id"].dataType:
+        # Equal ids of two types may have different hashes.
+        return docs
+    bits = min(1 << max(15, (n * BITS_EACH - 1).bit_length()), MOST_BITS)
+    # bitmap_bucket_number counts from 1 for numbers over 0.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket")
+    return met.where(F.call_function("shiftright", byte, (at % 8).cast("int")) % 2 == 1).select(*docs.columns)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """_id, quality and text of the training rows, repeated ones once; and how many labels of each class there are."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
@@ -237,7 +259,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None
         few = [own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for q in (1, 0)]
         own = few[0].unionByName(few[1])
     ids = own.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
-    met = docs.select(F.col("doc_id"), text_of().alias("text")).join(ids, F.col("doc_id") == F.col("_id"))
+    met = possible(docs.select(F.col("doc_id"), text_of().alias("text")), own, sum(sizes.values())).join(ids, F.col("doc_id") == F.col("_id"))
     return met.groupBy("_id", "quality", F.xxhash64("text").alias("th")).agg(F.min("text").alias("text")).select("_id", "quality", "text"), sizes
 
 
