@@ -2,9 +2,7 @@
 
 Each round is two aggregations and joins on node ids; no neighbour list is
 ever gathered in one place.  The rounds grow with the logarithm of the number
-of nodes.  Lineage is cut after each.  Up to ``FEW_EDGES`` edges, which are
-counted, are kept in one partition: the same rounds then move no rows, instead
-of a dozen shuffles each whose files and tasks outweigh the edges.
+of nodes.  Lineage is cut after each.
 """
 
 from __future__ import annotations
@@ -15,8 +13,6 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import attach, cut, text_of
 
 MAX_ROUNDS = 100
-#: Edges whose rounds run in one task (some 10 MB); more are dealt to all of them.
-FEW_EDGES = 200_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,24 +20,19 @@ def _mark(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def connect(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+def connect(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b), of any type that has an order; root is the smallest node of its component."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _mark(edges)
-    # What is read back doesn't know how it was dealt: said each time, so that no exchange is planned.
-    kept = (lambda df: cut(df).coalesce(1)) if seen[0] <= few else cut
-    if seen[0] <= few:
-        edges = edges.coalesce(1)
     for _ in range(MAX_ROUNDS):
         if not seen[0]:
             break
-        # Not a union, which would have two partitions of one each.
-        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(down, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = kept(small)
+        edges = cut(small)
         now = _mark(edges)
         if now == seen:
             break
