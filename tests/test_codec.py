@@ -1,12 +1,13 @@
 import math
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewell.codec import codes, errors, frame, integers, kinds, lanes, lz, quantize, tans, varint, xorfloat
+from tidewell.codec import codes, errors, frame, integers, kinds, lanes, lz, lz_many, quantize, tans, varint, xorfloat
 from tidewell.codec.frame import CodecConfig, FrameReader
 from tidewell.codec.quantize import Lossy
 from tidewell.codec.schema import RecordSchema, guess_stride
@@ -101,6 +102,50 @@ def test_tokens(data, parser):
     assert tans.decode_tokens(tans.encode_tokens(tokens)) == tokens
 
 
+def joined(values):
+    return lz_many.Joined(np.frombuffer(b"".join(values), np.uint8), lz_many.bounds_of(np.array([len(v) for v in values], np.int64)))
+
+
+def same_as_alone(values, parser, effort):
+    """The tokens of values at once are those of each alone, and so are their sizes and bytes."""
+    found, alone = lz_many.parse(joined(values), parser, effort), [lz.parse(v, parser, effort) if v else [] for v in values]
+    assert found.lists() == alone
+    assert lz_many.sizes(found).tolist() == [len(v) for v in values] and lz_many.replay(found).tobytes() == b"".join(values)
+    some = lz_many.Tokens(found.length, found.value, found.counts[found.counts > 0])
+    assert lz_many.packed_sizes(some).tolist() == [len(tans.encode_tokens(t)) for t in alone if t]
+
+
+@given(st.lists(st.binary(max_size=120).map(lambda b: b * 3) | st.text("ab", max_size=200).map(str.encode), max_size=6), st.sampled_from(lz.PARSERS), st.sampled_from([lz.Effort(), lz.Effort(depth=2, window=9, candidates=1)]))
+@settings(max_examples=80, deadline=None)
+def test_tokens_of_many_values(values, parser, effort):
+    same_as_alone(values, parser, effort)
+
+
+def test_tokens_of_long_and_odd_values():
+    noise = np.random.default_rng(3).integers(0, 4, 40_000).astype(np.uint8).tobytes()
+    long = [b"", b"a" * 140_000, noise, (b"x" * 300 + b"y") * 400, b"abcd" * 3 + noise[:20_000] + b"q" + noise[:20_000], bytes(range(256)) * 5, b"abc"]
+    for parser in ("greedy", "lazy"):
+        same_as_alone(long, parser, lz.Effort(depth=8))
+    rare = [bytes([0] * 3000 + list(range(256)) * k) for k in (1, 2, 9)]
+    same_as_alone(rare, "greedy", lz.Effort(depth=1, window=1))
+    for bad in ([(4, 1)], [(0, 1), (3, 1)], [(0, 1), (70000, 1)], [(0, 256)], [(0, 1), (-4, 1)]):
+        n, x = np.array([(0, 7), *bad], np.int32).T
+        with pytest.raises(errors.Corrupted):
+            lz_many.sizes(lz_many.Tokens(n, x, np.array([1, len(bad)])))
+
+
+def test_memory_of_many_values():
+    values = [b"page %d " % i + b"".join(b"%d," % (i * k % 1009) for k in range(400)) for i in range(300)]
+    tracemalloc.start()
+    for i, j in lz_many.groups(np.array([len(v) for v in values])):
+        found = lz_many.parse(joined(values[i:j]), "lazy", lz.Effort(depth=8))
+        lz_many.packed_sizes(found)
+        lz_many.replay(found)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 130 * lz_many.GROUP
+
+
 def test_parsers_compare():
     data = b"".join(b"sensor %d reading %d;" % (i % 7, i * i % 97) for i in range(300))
     size = {p: len(tans.encode_tokens(lz.parse(data, p))) for p in lz.PARSERS}

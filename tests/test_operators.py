@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell import generators
-from tidewell.codec import errors, frame, xorfloat
+from tidewell.codec import errors, frame, lz, lz_many, tans, xorfloat
 from tidewell.codec.frame import CodecConfig
 from tidewell.codec.quantize import Lossy
 from tidewell.codec.schema import RecordSchema
@@ -120,12 +120,23 @@ def test_tokens_and_frames(spark):
     df = spark.createDataFrame([(1, "abcabcabcabc" * 9), (2, ""), (3, None), (4, "é" * 40)], "id int, t string")
     back = tokens.replayed(tokens.parsed(df, "t"))
     assert [bytes(r.data).decode() if r.data is not None else None for r in back.orderBy("id").collect()] == ["abcabcabcabc" * 9, None, None, "é" * 40]
+    sizes = tokens.packed_size(back).orderBy("id").collect()
+    assert [r.packed_bytes for r in sizes] == [len(tans.encode_tokens(lz.parse(r.t.encode(), "lazy", lz.Effort(depth=8)))) if r.t else None for r in sizes]
     framed = compress.compress_column(df, "t", CodecConfig(kind="raw"))
     bad = framed.withColumn("frame", F.when(F.col("id") == 1, F.concat(F.substring("frame", 1, 40), F.lit("junk").cast("binary"))).otherwise(F.col("frame")))
     got = {r.id: (r.data, r.error) for r in compress.decompress_column(bad, permissive=True).collect()}
     assert got[1][0] is None and got[1][1] and bytes(got[4][0]).decode() == "é" * 40 and got[3] == (None, None)
 
 
+def test_tokens_come_in_small_batches(spark):
+    df = spark.range(300).coalesce(1).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(900)), lambda k: (F.col("id") * k % 1009).cast("string"))).alias("t"))
+
+    # What the kernel gives at once is for GROUP bytes of text; all of it was one batch.
+    sizes = [b.nbytes for b in tokens.token_batches(iter(df.toArrow().to_batches()), "t")]
+    assert len(sizes) > 1 and max(sizes) < 12 * lz_many.GROUP
+    assert tokens.replayed(tokens.parsed(df, "t")).where("data = cast(t as binary)").count() == 300
+
+
 def test_block_payloads(spark):
     df = series(spark, 100)
     for value, kind in (("v", "i64"), ("x", "f64")):
