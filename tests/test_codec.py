@@ -1,5 +1,6 @@
 import math
 import struct
+import time
 import tracemalloc
 
 import numpy as np
@@ -121,6 +122,24 @@ def test_tokens_of_many_values(values, parser, effort):
     same_as_alone(values, parser, effort)
 
 
+@given(st.lists(st.binary(max_size=60).map(lambda b: b * 3) | st.text("ab", max_size=300).map(str.encode) | st.just(b"<td>one</td><td>two</td>" * 20), min_size=8, max_size=14), st.sampled_from([lz.Effort(depth=8), lz.Effort(depth=9, candidates=2), lz.Effort(depth=3, window=40)]))
+@settings(max_examples=60, deadline=None)
+def test_cheapest_tokens_of_many_values(values, effort):
+    same_as_alone(values, "optimal", effort)
+    each = lz_many.parse_each(joined(values), lz.PARSERS, effort)
+    assert [t.lists() for t in each] == [lz_many.parse(joined(values), p, effort).lists() for p in lz.PARSERS]
+
+
+def test_cheapest_tokens_cost_less_together():
+    """Many short pages by the optimal parser take a fraction of the time of one after the other."""
+    values = [b"".join(b"<li class=%d>item %d of %d</li>" % (i % 3, i * k % 101, k) for k in range(30)) + b"y" * (i % 9) for i in range(400)]
+    began = time.process_time()
+    alone = [lz.parse(v, "optimal", lz.Effort(depth=8)) for v in values[:40]]
+    middle = time.process_time()
+    assert lz_many.parse(joined(values), "optimal", lz.Effort(depth=8)).lists()[:40] == alone
+    assert time.process_time() - middle < 5 * (middle - began)
+
+
 def test_tokens_of_long_and_odd_values():
     noise = np.random.default_rng(3).integers(0, 4, 40_000).astype(np.uint8).tobytes()
     long = [b"", b"a" * 140_000, noise, (b"x" * 300 + b"y") * 400, b"abcd" * 3 + noise[:20_000] + b"q" + noise[:20_000], bytes(range(256)) * 5, b"abc"]

@@ -122,6 +122,8 @@ def test_tokens_and_frames(spark):
     assert [bytes(r.data).decode() if r.data is not None else None for r in back.orderBy("id").collect()] == ["abcabcabcabc" * 9, None, None, "é" * 40]
     sizes = tokens.packed_size(back).orderBy("id").collect()
     assert [r.packed_bytes for r in sizes] == [len(tans.encode_tokens(lz.parse(r.t.encode(), "lazy", lz.Effort(depth=8)))) if r.t else None for r in sizes]
+    each = tokens.replayed(tokens.parsed_by_each(df, "t")).collect()
+    assert sorted((r.id, r.parser, r.data and bytes(r.data).decode()) for r in each) == sorted((r.id, p, r.t or None) for r in df.collect() for p in lz.PARSERS)
     framed = compress.compress_column(df, "t", CodecConfig(kind="raw"))
     bad = framed.withColumn("frame", F.when(F.col("id") == 1, F.concat(F.substring("frame", 1, 40), F.lit("junk").cast("binary"))).otherwise(F.col("frame")))
     got = {r.id: (r.data, r.error) for r in compress.decompress_column(bad, permissive=True).collect()}
